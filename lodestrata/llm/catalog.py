@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import decontaminate, language, neardup, quality
+from lodestrata.llm import bpe, decontaminate, language, neardup, quality
 from lodestrata.llm.session import table
 
 
@@ -22,9 +22,13 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op4_quality_classifier, op5_decontamination, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_bpe, op4_quality_classifier, op5_decontamination, op9_language_id)}
 ORACLES: dict[str, str] = {}

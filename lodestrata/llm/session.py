@@ -21,13 +21,18 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, in the shared folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written tables that the cluster names in spark.checkpoint.dir.
 
-    Only where spark.checkpoint.dir is unset (local runs and tests) a temporary folder serves.
+    Only where that is unset (local runs and tests) a temporary folder serves.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut, by a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
