@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestrata.llm import bpe, decontaminate, language, neardup, quality
+from lodestrata.llm import bpe, decontaminate, language, lm, neardup, quality
 from lodestrata.llm.session import table
 
 
@@ -13,6 +14,37 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_tokens", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+OP6_SQL = r"""
+WITH split AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS words FROM documents
+), one AS (
+    SELECT doc_id, unnest(words) AS w, unnest(range(len(words))) AS i FROM split
+), three AS (
+    SELECT doc_id, i, w, lag(w) OVER place AS v, lag(w, 2) OVER place AS u FROM one WINDOW place AS (PARTITION BY doc_id ORDER BY i)
+), c1 AS (SELECT w, count(*) AS n FROM one GROUP BY w),
+c2 AS (SELECT v, w, count(*) AS n FROM three WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) >= 2),
+c3 AS (SELECT u, v, w, count(*) AS n FROM three WHERE u IS NOT NULL GROUP BY u, v, w HAVING count(*) >= 2),
+scored AS (
+    SELECT t.doc_id, CASE
+        WHEN c3.n IS NOT NULL THEN ln(c3.n) - ln(h2.n)
+        WHEN c2.n IS NOT NULL THEN ln(c2.n) - ln(h1.n) + CASE WHEN i >= 2 THEN ln(0.4) ELSE 0 END
+        ELSE ln(c1.n) - ln((SELECT count(*) FROM one)) + least(i, 2) * ln(0.4) END AS s
+    FROM three t JOIN c1 ON c1.w = t.w
+    LEFT JOIN c3 ON c3.u = t.u AND c3.v = t.v AND c3.w = t.w
+    LEFT JOIN c2 ON c2.v = t.v AND c2.w = t.w
+    LEFT JOIN c2 h2 ON h2.v = t.u AND h2.w = t.v
+    LEFT JOIN c1 h1 ON h1.w = t.v
+)
+SELECT d.doc_id, count(s) AS n_tokens, round(coalesce(sum(s), 0), 6) AS log_score, round(avg(s), 6) AS mean_log_score
+FROM documents d LEFT JOIN scored USING (doc_id) GROUP BY d.doc_id
+"""
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return language.identify(documents, language.fit(documents))
@@ -30,5 +62,5 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_bpe, op4_quality_classifier, op5_decontamination, op9_language_id)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_bpe, op4_quality_classifier, op5_decontamination, op6_lm_scores, op9_language_id)}
+ORACLES = {"op6_lm_scores": OP6_SQL}

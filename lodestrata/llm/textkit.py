@@ -17,8 +17,8 @@ CHUNK_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240611)
 _VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(BASE, -1, 1 << 64)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 CLASSES = np.full(256, MARK, np.uint8)
@@ -46,7 +46,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = max(CHUNK_BYTES + 1, 1 << max(0, n - 1).bit_length())
     if size not in _powers:
         made = []
-        for base in (_BASE, _INVERSE):
+        for base in (BASE, _INVERSE):
             p = np.empty(size, np.uint64)
             p[0], k = 1, 1
             while k < size:
@@ -120,6 +120,6 @@ def grams(h: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     out = h[: len(h) - n + 1].copy()
     for k in range(1, n):
-        out = out * np.uint64(_BASE) + h[k : len(h) - n + 1 + k]
+        out = out * np.uint64(BASE) + h[k : len(h) - n + 1 + k]
     same = text[: len(h) - n + 1] == text[n - 1 :]
     return mix(out[same]), text[: len(h) - n + 1][same]
