@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bpe, decontaminate, language, lm, neardup, quality
+from lodestrata.llm import bpe, decontaminate, html_extract, language, license_scan, lm, neardup, preference, quality, topk
 from lodestrata.llm.session import table
 
 
@@ -45,6 +45,51 @@ FROM documents d LEFT JOIN scored USING (doc_id) GROUP BY d.doc_id
 """
 
 
+def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = preference.render(preference.pairs(table(spark, sf_dir, "conversations")))
+    flat = {f"{c}_mask": F.array_join(F.transform(f"{c}_mask", lambda x: F.concat_ws("-", x.cast("array<string>"))), ",") for c in ("chosen", "rejected")}
+    return made.withColumns(flat)
+
+
+OP7_SQL = r"""
+WITH heard AS (
+    SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM heard
+), final AS (
+    SELECT conv_id, max(i) AS last FROM placed WHERE role = 'assistant' GROUP BY conv_id
+), answer AS (
+    SELECT p.conv_id, p.i AS last, p.text AS good, string_split(p.text, ' ') AS words FROM placed p JOIN final f ON p.conv_id = f.conv_id AND p.i = f.last
+), stale AS (
+    SELECT a.conv_id, arg_max(p.text, p.i) AS text FROM answer a JOIN placed p ON p.conv_id = a.conv_id AND p.i < a.last AND p.role = 'assistant' AND p.text <> a.good GROUP BY a.conv_id
+), prompt AS (
+    SELECT a.conv_id, coalesce(string_agg('<|im_start|>' || p.role || chr(10) || p.text || '<|im_end|>' || chr(10), '' ORDER BY p.i), '') AS prompt
+    FROM answer a LEFT JOIN placed p ON p.conv_id = a.conv_id AND p.i < a.last GROUP BY a.conv_id
+), both_answers AS (
+    SELECT a.conv_id, a.last, p.prompt, good, coalesce(s.text, array_to_string(words[1:(len(words) // 2)], ' ')) AS bad
+    FROM answer a JOIN prompt p ON p.conv_id = a.conv_id LEFT JOIN stale s ON s.conv_id = a.conv_id
+), shown AS (
+    SELECT *, '<|im_start|>assistant' || chr(10) || good || '<|im_end|>' || chr(10) AS g, '<|im_start|>assistant' || chr(10) || bad || '<|im_end|>' || chr(10) AS b FROM both_answers
+)
+SELECT conv_id, CASE WHEN good = bad THEN last ELSE last - 1 END AS prompt_turns,
+    CASE WHEN good = bad THEN prompt || g ELSE prompt END AS prompt,
+    CASE WHEN good = bad THEN '' ELSE g END AS chosen_completion,
+    CASE WHEN good = bad THEN '' ELSE '22-' || length(g) END AS chosen_mask,
+    CASE WHEN good = bad THEN '' ELSE b END AS rejected_completion,
+    CASE WHEN good = bad THEN '' ELSE '22-' || length(b) END AS rejected_mask
+FROM shown
+"""
+
+
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.search(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("score", F.round("score", 9))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return language.identify(documents, language.fit(documents))
@@ -54,6 +99,11 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.fit(pages))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -62,5 +112,5 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_bpe, op4_quality_classifier, op5_decontamination, op6_lm_scores, op9_language_id)}
-ORACLES = {"op6_lm_scores": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_html_extraction, op3_bpe, op4_quality_classifier, op5_decontamination, op6_lm_scores, op7_preference_format, op8_license_scan, op9_language_id, op10_topk_search)}
+ORACLES = {"op6_lm_scores": OP6_SQL, "op7_preference_format": OP7_SQL, "op10_topk_search": topk.search_sql()}
