@@ -2,6 +2,373 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrata.functions import ignore, names, outline, pysource, text, tokens
+from lodestrata.operators import compare, graph, packages, sizes, trees
+from lodestrata.plans import corpus, render
+from lodestrata.plans.corpus import FILES_SQL, IMPORTS_SQL, MODULES_SQL, table
+from lodestrata.sources import tree
+
 FLAGSHIP = "overview"
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def register(made: Callable) -> Callable:
+        QUERIES[made.__name__] = made
+        if sql is not None:
+            ORACLES[made.__name__] = sql
+        return made
+
+    return register
+
+
+IGNORED = ignore.compile_rules(["# noise", "*.log", "es/", "!es/src1/", "/fr/src1*/", "doc_*7.md", "!doc_*17.md", "de/**/doc_*[0-4].txt", "!doc_??????00?.log"])
+INCLUDED = ["en/**", "src?/*.py", "*.md"]
+SHOWN = ignore.representation_rules(meta=["*.json"], summary=["en/src1*/", "*.md"], content=["/de/src2/**", "doc_*5.*"])
+
+
+def _case(rules: list, path: str, is_dir: bool, then: Callable, default: str) -> str:
+    """A SQL CASE with the rules' expressions, the last first."""
+    whens = " ".join(f"WHEN regexp_matches('/' || {path}, '{(r[0] if isinstance(r, tuple) else r).regex(is_dir)}') THEN {then(r)}" for r in reversed(rules))
+    return f"CASE {whens} ELSE {default} END"
+
+
+def _verdict(path: str, is_dir: bool) -> str:
+    return _case(IGNORED, path, is_dir, lambda r: str(not r.negated).lower(), "false")
+
+
+@query(f"WITH {FILES_SQL} SELECT path, {_verdict('path', False)} AS excluded FROM files")
+def ignore_last_match_wins(spark, sf_dir):
+    return corpus.files(spark, sf_dir).select("path", ignore.excluded_column(IGNORED, F.col("path"), False).alias("excluded"))
+
+
+@query(f"WITH {FILES_SQL} SELECT path FROM files WHERE NOT {_verdict('dir1', True)} AND NOT {_verdict('dir2', True)} AND NOT {_verdict('path', False)}")
+def ignore_dir_pruning(spark, sf_dir):
+    return corpus.files(spark, sf_dir).where(~ignore.hidden_column(IGNORED, F.col("path"), False)).select("path")
+
+
+_INCLUDES = " OR ".join(f"regexp_matches('/' || path, '{r.regex(False)}')" for r in ignore.compile_rules(INCLUDED, False))
+
+
+@query(f"WITH {FILES_SQL} SELECT path FROM files WHERE {_INCLUDES}")
+def include_allowlist(spark, sf_dir):
+    return corpus.files(spark, sf_dir).where(ignore.included_column(INCLUDED, F.col("path"))).select("path")
+
+
+@query(f"""WITH {FILES_SQL}, entries AS (
+    SELECT path, false AS is_dir FROM files WHERE NOT {_verdict('dir1', True)} AND NOT {_verdict('dir2', True)}
+    UNION SELECT dir1, true FROM files UNION SELECT dir2, true FROM files WHERE NOT {_verdict('dir1', True)}
+), ruled AS (
+    SELECT *, CASE WHEN is_dir THEN {_case(IGNORED, 'path', True, lambda r: 'NULL' if r.negated else f"'{r.pattern}'", 'NULL')}
+        ELSE {_case(IGNORED, 'path', False, lambda r: 'NULL' if r.negated else f"'{r.pattern}'", 'NULL')} END AS matched_pattern,
+        NOT is_dir AND NOT ({_INCLUDES}) AS left_out FROM entries
+) SELECT path, is_dir, CASE WHEN matched_pattern IS NULL AND NOT left_out THEN 'included' ELSE 'excluded' END AS decision,
+    CASE WHEN matched_pattern IS NOT NULL THEN 'ignore' WHEN left_out THEN 'include' END AS reason, matched_pattern,
+    CASE WHEN matched_pattern IS NOT NULL THEN 'cli' END AS matched_source FROM ruled""")
+def selection_trace(spark, sf_dir):
+    paths = corpus.files(spark, sf_dir).select("path")
+    folders = paths.select(F.explode(ignore.ancestors(F.col("path"))).alias("path")).distinct()
+    entries = paths.withColumn("is_dir", F.lit(False)).unionByName(folders.withColumn("is_dir", F.lit(True)))
+    return tree.decided(entries, IGNORED, INCLUDED)
+
+
+@query(f"""WITH {FILES_SQL} SELECT count(DISTINCT path) AS files, count(*) FILTER (ends_with(path, '.py')) AS python_files,
+    count(*) FILTER (position(chr(0) IN content) > 0) AS binary_files, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM files""")
+def overview(spark, sf_dir):
+    files = corpus.files(spark, sf_dir)
+    return render.overview(files.withColumn("is_binary", F.contains("content", F.lit("\0"))))
+
+
+@query(f"WITH {FILES_SQL} SELECT path, {_case(SHOWN, 'path', False, lambda r: repr(r[1]), chr(39).join(['CASE WHEN ends_with(path, ', '.py', ') THEN ', 'summary', ' ELSE ', 'meta', ' END']))} AS representation FROM files")
+def representation_policy(spark, sf_dir):
+    return corpus.files(spark, sf_dir).select("path", ignore.representation_column(SHOWN, F.col("path"), F.lit(False)).alias("representation"))
+
+
+@query(f"""WITH {FILES_SQL} SELECT CASE doc_id % 5 WHEN 0 THEN 'markdown' WHEN 2 THEN 'json' WHEN 3 THEN 'python' END AS language,
+    count(*) AS n_files, CAST(sum(size_bytes) AS BIGINT) AS n_bytes FROM files GROUP BY 1""")
+def language_counts(spark, sf_dir):
+    found = corpus.files(spark, sf_dir).withColumn("language", text.language(F.col("path")))
+    return found.groupBy("language").agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("n_bytes"))
+
+
+@query(f"WITH {MODULES_SQL} SELECT module, p2 AS package FROM modules")
+def module_names(spark, sf_dir):
+    return packages.modules(corpus.modules(spark, sf_dir)).select("module", "package")
+
+
+@query(f"""WITH {MODULES_SQL}, every AS (SELECT p1 AS name FROM modules UNION SELECT p2 FROM modules),
+subs AS (SELECT DISTINCT '__root__' AS name, p1 AS child FROM modules UNION SELECT DISTINCT p1, p2 FROM modules)
+SELECT e.name, coalesce((SELECT string_agg(child, ',' ORDER BY child) FROM subs s WHERE s.name = e.name), '') AS subpackages,
+    coalesce((SELECT string_agg(DISTINCT module, ',' ORDER BY module) FROM modules m WHERE m.p2 = e.name), '') AS modules
+FROM (SELECT name FROM every UNION SELECT '__root__') e""")
+def package_tree(spark, sf_dir):
+    made = packages.package_tree(packages.modules(corpus.modules(spark, sf_dir)))
+    return made.select("name", F.array_join("subpackages", ",").alias("subpackages"), F.array_join("modules", ",").alias("modules"))
+
+
+@query("""SELECT 'm' || (l_partkey % 97) AS module, count(*) AS n_sources FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)
+GROUP BY 1 HAVING count(*) > 1""")
+def module_collisions(spark, sf_dir):
+    pairs = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    paths = pairs.select(F.concat(F.lit("m"), F.col("l_partkey") % 97, F.lit(".py")).alias("path"), F.col("l_suppkey").alias("source"))
+    return packages.collisions(packages.modules(paths))
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pysource.extract(corpus.sources(spark, sf_dir))
+
+
+@query("SELECT count(*) AS total_modules, count(*) AS total_classes, 2 * count(*) AS total_functions FROM customer")
+def skeleton_totals(spark, sf_dir):
+    return packages.totals(_parsed(spark, sf_dir))
+
+
+@query("""SELECT 'pkg.customer_' || c_custkey AS module, 'Customer ' || c_name || '.' AS doc, 'C' || c_custkey AS class_name, 13 AS class_line,
+    'Of nation ' || c_nationkey || '.' AS class_doc, 'BaseModel' AS bases, 'dataclass' AS decorators, true AS is_dataclass, true AS is_pydantic,
+    'size|int|' || c_nationkey AS attribute, 'LIMIT=' || c_custkey AS constant,
+    'import os;from pkg.nation_' || c_nationkey || ' import thing, other' AS imports FROM customer""")
+def python_symbols(spark, sf_dir):
+    c = F.col("classes")[0]
+    a, k = c["attributes"][0], F.col("constants")[0]
+    return _parsed(spark, sf_dir).select(
+        "module", "doc", c["name"].alias("class_name"), c["line"].alias("class_line"), c["doc"].alias("class_doc"), F.array_join(c["bases"], ",").alias("bases"),
+        F.array_join(c["decorators"], ",").alias("decorators"), c["is_dataclass"].alias("is_dataclass"), c["is_pydantic"].alias("is_pydantic"),
+        F.concat_ws("|", a["name"], a["annotation"], a["default"]).alias("attribute"), F.concat_ws("=", k["name"], k["default"]).alias("constant"), F.array_join("imports", ";").alias("imports"),
+    )
+
+
+@query("""SELECT 'pkg.customer_' || c_custkey AS module, 'f' || c_custkey AS name, 21 AS line, true AS is_async, false AS is_method,
+    '(a, /, b: str, *rest, c = ' || c_nationkey || ', **more) -> int' AS signature, 'int' AS returns,
+    'a:POSITIONAL_ONLY,b:POSITIONAL_OR_KEYWORD,rest:VAR_POSITIONAL,c:KEYWORD_ONLY,more:VAR_KEYWORD' AS parameters FROM customer
+UNION ALL SELECT 'pkg.customer_' || c_custkey, 'area', 17, false, true, '(self, scale: float = 2.0) -> float', 'float',
+    'self:POSITIONAL_OR_KEYWORD,scale:POSITIONAL_OR_KEYWORD' FROM customer""")
+def python_signatures(spark, sf_dir):
+    f = _parsed(spark, sf_dir).select("module", F.explode(F.concat("functions", F.flatten(F.transform("classes", lambda c: c["methods"])))).alias("f"))
+    kinds = F.array_join(F.transform("f.parameters", lambda p: F.concat_ws(":", p["name"], p["kind"])), ",")
+    return f.select("module", "f.name", "f.line", "f.is_async", "f.is_method", "f.signature", "f.returns", kinds.alias("parameters"))
+
+
+@query("""SELECT 'pkg.customer_' || c_custkey AS module, 'os' AS target, false AS resolved, false AS is_local FROM customer
+UNION ALL SELECT 'pkg.customer_' || c_custkey, 'pkg.nation_' || c_nationkey, c_nationkey IN (SELECT n_nationkey FROM nation), true FROM customer
+UNION ALL SELECT 'pkg.customer_' || c_custkey, 'pkg.nation_' || c_nationkey || '.thing', true, true FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 2 = 0)""")
+def import_edges(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation").select(F.expr("concat('pkg.nation_', n_nationkey)").alias("module"), F.lit(True).alias("is_package"), "n_nationkey")
+    things = nations.where("n_nationkey % 2 = 0").select(F.concat("module", F.lit(".thing")).alias("module"), F.lit(False).alias("is_package"))
+    parsed = _parsed(spark, sf_dir).select("module", F.lit(False).alias("is_package"), "edges")
+    known = nations.select("module", "is_package").unionByName(things).unionByName(parsed.select("module", "is_package"))
+    return graph.edges(parsed, known)
+
+
+@query("""SELECT 'pkg.customer_' || c_custkey AS module, u.name, u.line, u.character FROM customer, LATERAL (
+    SELECT 'LIMIT' AS name, 7 AS line, 0 AS character UNION ALL SELECT 'C' || c_custkey, 12, 6 UNION ALL SELECT 'f' || c_custkey, 20, 10) u""")
+def symbol_positions(spark, sf_dir):
+    p = _parsed(spark, sf_dir).select("module", F.explode("positions").alias("p")).where("p.name is null or not startswith(p.name, '_')")
+    return p.select("module", "p.name", "p.line", "p.character")
+
+
+@query("""SELECT 'pkg.customer_' || c_custkey AS module, sha256('\"\"\" Customer ' || c_name || '. \"\"\"' || chr(10) || 'import os' || chr(10) || 'from pkg.nation_' || c_nationkey || ' import thing, other'
+    || chr(10) || chr(10) || 'LIMIT = ' || c_custkey || chr(10) || chr(10) || 'async def f' || c_custkey || '(a, /, b: str, *rest, c = ' || c_nationkey || ', **more) -> int: ...'
+    || chr(10) || chr(10) || '@dataclass' || chr(10) || 'class C' || c_custkey || '(BaseModel):' || chr(10) || '    size: int = ' || c_nationkey
+    || chr(10) || chr(10) || '    def area(self, scale: float = 2.0) -> float: ...' || chr(10)) AS stub FROM customer""")
+def compress_stub(spark, sf_dir):
+    return _parsed(spark, sf_dir).select("module", F.sha2(pysource.stub(), 256).alias("stub"))
+
+
+@query("SELECT 'pkg.customer_' || c_custkey AS module, 13 AS line FROM customer WHERE c_custkey = 7")
+def find_class(spark, sf_dir):
+    return packages.find(_parsed(spark, sf_dir), "classes", "C7")
+
+
+@query("SELECT 'pkg.customer_' || c_custkey AS module, 21 AS line FROM customer WHERE c_custkey = 11")
+def find_function(spark, sf_dir):
+    return packages.find(_parsed(spark, sf_dir), "functions", "f11")
+
+
+def _reached(start: str, src: str, dst: str, links: str) -> str:
+    return f"""WITH RECURSIVE {IMPORTS_SQL}, reach AS ({start} UNION SELECT l.{dst} FROM reach r JOIN links l ON l.{src} = r.module WHERE l.resolved)
+SELECT DISTINCT module FROM reach"""
+
+
+@query(_reached("SELECT 'docs.d' || doc_id AS module FROM ids WHERE doc_id % 50 = 49", "src", "dst", "links"))
+def forward_closure(spark, sf_dir):
+    ids = table(spark, sf_dir, "documents").where("doc_id % 50 = 49").select(F.expr("concat('docs.d', doc_id)").alias("module")).distinct()
+    links = corpus.imports(spark, sf_dir).where("resolved").select(F.col("module").alias("src"), F.col("target").alias("dst"))
+    return graph.closure(ids, links).select("module")
+
+
+@query(_reached("SELECT 'docs.d2' AS module", "dst", "src", "links"))
+def reverse_closure(spark, sf_dir):
+    found = table(spark, sf_dir, "documents").select(F.expr("concat('docs.d', doc_id)").alias("module")).distinct()
+    return graph.reverse_closure("docs.d2", corpus.imports(spark, sf_dir), found).select("module")
+
+
+@query(f"""WITH {IMPORTS_SQL} SELECT src AS module, dst AS target FROM links WHERE NOT resolved
+UNION ALL SELECT 'docs.d' || doc_id, 'docs.gone' || doc_id FROM ids WHERE doc_id % 2 = 1 AND doc_id % 3 > 0""")
+def unresolved_local_imports(spark, sf_dir):
+    return graph.unresolved(corpus.imports(spark, sf_dir))
+
+
+@query(f"WITH {IMPORTS_SQL} SELECT dst AS target, string_agg(src, ',' ORDER BY src) AS importers FROM links WHERE resolved GROUP BY dst")
+def reverse_import_index(spark, sf_dir):
+    return graph.reverse_index(corpus.imports(spark, sf_dir)).select("target", F.array_join("importers", ",").alias("importers"))
+
+
+@query(f"WITH {IMPORTS_SQL} SELECT src AS module, string_agg(DISTINCT dst, ',' ORDER BY dst) AS targets FROM links GROUP BY src")
+def import_dedup_order(spark, sf_dir):
+    found = corpus.imports(spark, sf_dir).where("not startswith(target, 'docs.gone')")
+    return found.groupBy("module").agg(F.array_join(F.sort_array(F.collect_set("target")), ",").alias("targets"))
+
+
+@query(f"WITH {FILES_SQL} SELECT path FROM files WHERE doc_id % 11 = 0 AND NOT ({_INCLUDES})")
+def required_missing(spark, sf_dir):
+    files = corpus.files(spark, sf_dir)
+    chosen = files.where(ignore.included_column(INCLUDED, F.col("path"))).select("path")
+    return files.where("doc_id % 11 = 0").select("path").join(chosen, "path", "left_anti")
+
+
+@query(f"""WITH {FILES_SQL} SELECT dir1 AS key, dir1 || '/' AS line FROM files UNION SELECT dir2, '  ' || split_part(dir2, '/', 2) || '/' FROM files
+UNION SELECT path, '    ' || split_part(path, '/', 3) FROM files""")
+def structure_tree(spark, sf_dir):
+    made = trees.structure(corpus.files(spark, sf_dir).select("path", F.lit(False).alias("is_dir")))
+    return made.select(F.array_join("key", "/").alias("key"), "line")
+
+
+@query(f"""WITH {FILES_SQL} SELECT dir1 AS key, dir1 || '/' AS line FROM files UNION SELECT dir2, '  ' || split_part(dir2, '/', 2) || '/' FROM files
+UNION SELECT path, '    ' || split_part(path, '/', 3) || ' (' || format('{{:,}}', len(regexp_extract_all(content, '[A-Za-z]+|[0-9]{{1,3}}|[^A-Za-z0-9\\s]|\\s+'))) || ')' FROM files""")
+def token_tree(spark, sf_dir):
+    counts = corpus.files(spark, sf_dir).select("path", tokens.count_column(F.col("content")).alias("n_tokens"))
+    return trees.with_tokens(counts).select(F.array_join(F.transform("key", lambda k: k["name"]), "/").alias("key"), "line")
+
+
+@query(f"""WITH {FILES_SQL} SELECT path, len(regexp_extract_all(content, '[A-Za-z]+|[0-9]{{1,3}}|[^A-Za-z0-9\\s]|\\s+')) AS n_tokens FROM files""")
+def token_counts(spark, sf_dir):
+    return corpus.files(spark, sf_dir).select("path", tokens.count_column(F.col("content")).alias("n_tokens"))
+
+
+@query(f"""WITH {FILES_SQL}, rows_of AS (SELECT path, content, CASE WHEN ends_with(content, chr(10)) THEN string_split(content[:-2], chr(10)) ELSE string_split(content, chr(10)) END AS l FROM files)
+SELECT path, sha256(array_to_string(list_transform(l, lambda x, i: lpad(CAST(i AS VARCHAR), length(CAST(len(l) AS VARCHAR))::INT, ' ') || ': ' || x), chr(10)) || CASE WHEN ends_with(content, chr(10)) THEN chr(10) ELSE '' END) AS numbered FROM rows_of""")
+def line_numbers(spark, sf_dir):
+    return corpus.files(spark, sf_dir).select("path", F.sha2(text.numbered(F.col("content")), 256).alias("numbered"))
+
+
+_TICKED = "repeat('`', CAST(doc_id % 7 AS INT)) || content || repeat('`', CAST(doc_id % 3 AS INT))"
+
+
+@query(f"WITH {FILES_SQL} SELECT path, repeat('`', greatest(3, CAST(doc_id % 7 AS INT) + 1)) AS fence FROM files WHERE content NOT LIKE '%`%' AND length(content) > 0")
+def safe_fence(spark, sf_dir):
+    files = corpus.files(spark, sf_dir).where("content not like '%`%' and length(content) > 0").withColumn("t", F.expr(_TICKED))
+    return files.select("path", text.fence(F.col("t")).alias("fence"))
+
+
+@query(f"WITH {FILES_SQL} SELECT path, base64(encode(content)) AS encoded, size_bytes FROM files")
+def base64_bytes(spark, sf_dir):
+    return corpus.files(spark, sf_dir).select("path", text.base64(F.col("content")).alias("encoded"), text.byte_length(F.col("content")).alias("size_bytes"))
+
+
+@query("SELECT n_nationkey, list_position([1, 2, 3, 4, 5], n_nationkey % 5 + 1) AS level, n_name AS heading FROM nation UNION ALL SELECT n_nationkey, 6, 'End of ' || n_nationkey FROM nation")
+def md_headings(spark, sf_dir):
+    shown = "concat(repeat('#', n_nationkey % 5 + 1), '  ', n_name, ' \\n\\ntext # no\\n #no\\n####### no\\n###### End of ', n_nationkey, '\\n')"
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.explode(text.headings(F.expr(shown))).alias("h"))
+    return rows.select("n_nationkey", "h.level", F.col("h.text").alias("heading"))
+
+
+@query(f"WITH {FILES_SQL} SELECT path, sha256(content) AS sha256 FROM files")
+def manifest_sha256(spark, sf_dir):
+    return compare.manifest(corpus.files(spark, sf_dir))
+
+
+@query(f"""WITH {FILES_SQL} SELECT path, CASE WHEN doc_id % 10 = 0 THEN 'missing' WHEN doc_id % 10 = 1 THEN 'extra' ELSE 'changed' END AS status FROM files WHERE doc_id % 10 < 3""")
+def dir_compare(spark, sf_dir):
+    files = corpus.files(spark, sf_dir)
+    changed = F.when(F.col("doc_id") % 10 == 2, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
+    return compare.differences(compare.manifest(files.where("doc_id % 10 <> 1")), compare.manifest(files.where("doc_id % 10 <> 0").withColumn("content", changed)))
+
+
+@query(f"""WITH RECURSIVE {FILES_SQL}, ordered AS (SELECT path, size_bytes AS size, row_number() OVER (ORDER BY path) AS n FROM files),
+fold AS (SELECT path, size, n, 1 AS part, size AS used FROM ordered WHERE n = 1 UNION ALL
+    SELECT o.path, o.size, o.n, CASE WHEN f.used + o.size > CASE WHEN f.part = 1 THEN 299000 ELSE 299800 END THEN f.part + 1 ELSE f.part END,
+        CASE WHEN f.used + o.size > CASE WHEN f.part = 1 THEN 299000 ELSE 299800 END THEN o.size ELSE f.used + o.size END FROM fold f JOIN ordered o ON o.n = f.n + 1)
+SELECT path, size, part FROM fold""")
+def next_fit_split(spark, sf_dir):
+    blocks = corpus.files(spark, sf_dir).select("path", F.col("size_bytes").alias("size"))
+    return sizes.next_fit(blocks, 300_000, first=900, later=100, end=100)
+
+
+@query(f"""WITH {FILES_SQL}, saved AS (SELECT path, size_bytes AS savings, CAST(sum(size_bytes) OVER (ORDER BY size_bytes DESC, path ROWS UNBOUNDED PRECEDING) AS BIGINT) AS saved FROM files WHERE size_bytes > 0)
+SELECT * FROM saved WHERE saved - savings < 250000""")
+def fit_to_budget(spark, sf_dir):
+    return sizes.downgrades(corpus.files(spark, sf_dir).select("path", F.col("size_bytes").alias("savings")), 250_000)
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'tokens' WHEN 4 THEN NULL ELSE 'bytes' END AS kind,
+    CASE p_partkey % 5 WHEN 0 THEN p_size * 1000 WHEN 1 THEN p_size * 1572864 WHEN 2 THEN p_size * 1024 WHEN 3 THEN p_size ELSE NULL END::BIGINT AS value FROM part""")
+def limit_parse(spark, sf_dir):
+    shown = "CASE p_partkey % 5 WHEN 0 THEN concat(p_size, '_000t') WHEN 1 THEN concat(cast(cast(p_size as decimal(10, 1)) * 1.5 as decimal(12, 2)), ' mb') WHEN 2 THEN concat(p_size, 'KB') WHEN 3 THEN concat(p_size, '') ELSE concat(p_size, '.5t') END"
+    found = table(spark, sf_dir, "part").select("p_partkey", names.limit_bytes_column(F.replace(F.expr(shown), F.lit(" "), F.lit(""))).alias("found"))
+    return found.select("p_partkey", "found.kind", "found.value")
+
+
+@query("SELECT event_id, array_to_string(list_sort(json_keys(props)), ',') AS paths FROM events")
+def json_key_outline(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("props").alias("text"))
+    return outline.outline(rows, "json").select("event_id", F.array_join("paths", ",").alias("paths"))
+
+
+_DEEP = "'part,supply,part.name,part.sizes,supply.at,part.sizes[0],part.sizes[1]'"
+
+
+@query(f"SELECT p_partkey, {_DEEP} AS paths FROM part")
+def yaml_outline(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr("concat('supply: {at: ', p_partkey, '}\\npart:\\n  sizes: [', p_size, ', 2]\\n  name: x\\n')").alias("text"))
+    return outline.outline(rows, "yaml").select("p_partkey", F.array_join("paths", ",").alias("paths"))
+
+
+@query(f"SELECT p_partkey, {_DEEP} AS paths FROM part")
+def toml_outline(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr("concat('[supply]\\nat = ', p_partkey, '\\n[part]\\nname = \"x\"\\nsizes = [', p_size, ', 2]\\n')").alias("text"))
+    return outline.outline(rows, "toml").select("p_partkey", F.array_join("paths", ",").alias("paths"))
+
+
+@query(f"""WITH {FILES_SQL} SELECT path, sha256(chr(10) || '### ' || path || chr(10) || chr(10) || chr(10) || '```' ||
+    CASE doc_id % 5 WHEN 0 THEN 'markdown' WHEN 2 THEN 'json' WHEN 3 THEN 'python' ELSE '' END || chr(10) || rtrim(content, chr(10)) || chr(10) || '```' || chr(10)) AS block
+FROM files WHERE content NOT LIKE '%```%'""")
+def md_blocks(spark, sf_dir):
+    files = corpus.files(spark, sf_dir).where("content not like '%```%'")
+    return files.select("path", F.sha2(text.markdown_block(F.col("path"), text.language(F.col("path")), F.lit(False), F.col("content")), 256).alias("block"))
+
+
+@query(f"""WITH {FILES_SQL} SELECT path, sha256(chr(10) || repeat('=', 80) || chr(10) || path || chr(10) || repeat('-', 80) || chr(10) || rtrim(content, chr(10)) || chr(10)) AS block FROM files""")
+def plain_blocks(spark, sf_dir):
+    return corpus.files(spark, sf_dir).select("path", F.sha2(text.plain_block(F.col("path"), F.lit(False), F.col("content")), 256).alias("block"))
+
+
+@query(f"""WITH {FILES_SQL} SELECT path, path AS p, size_bytes AS n, 'content' AS representation, sha256(content) AS content FROM files""")
+def jsonl_records(spark, sf_dir):
+    files = corpus.files(spark, sf_dir).withColumns({"is_binary": F.lit(False), "language": text.language(F.col("path")), "representation": F.lit("content"), "summary": F.lit(None).cast("string")})
+    line = render.jsonl_record(files, "fence-safe")
+    back = line.select("path", F.from_json("line", "path string, size_bytes long, representation string, content string").alias("r"))
+    return back.select("path", F.col("r.path").alias("p"), F.col("r.size_bytes").alias("n"), "r.representation", F.sha2("r.content", 256).alias("content"))
+
+
+@query(f"""WITH {FILES_SQL} SELECT path, doc_id % 4 < 2 AS is_binary FROM files WHERE doc_id % 4 <> 1 OR size_bytes > 0""")
+def binary_sniff(spark, sf_dir):
+    files = corpus.files(spark, sf_dir).where("doc_id % 4 <> 1 or size_bytes > 0")
+    spoiled = F.expr("CASE doc_id % 4 WHEN 0 THEN concat(X'00', encode(left(content, 2000), 'UTF-8')) WHEN 1 THEN concat(X'FF', encode(left(content, 2000), 'UTF-8')) ELSE encode(left(content, 2000), 'UTF-8') END")
+    return files.select("path", text.is_binary(spoiled).alias("is_binary"))
+
+
+@query(f"WITH {FILES_SQL} SELECT path, size_bytes FROM files ORDER BY size_bytes DESC, path LIMIT 50")
+def top_n_files(spark, sf_dir):
+    return corpus.files(spark, sf_dir).select("path", "size_bytes").orderBy(F.desc("size_bytes"), "path").limit(50)
+
+
+@query(f"WITH {FILES_SQL} SELECT path, sha256(left(content, 20)) AS head FROM files WHERE doc_id % 6 < 4 AND doc_id % 2 = 0 UNION SELECT path, sha256(left(content, 20)) FROM files WHERE doc_id % 7 = 0")
+def closure_union(spark, sf_dir):
+    files = corpus.files(spark, sf_dir).withColumn("head", F.sha2(F.left("content", F.lit(20)), 256))
+    return files.where("doc_id % 6 < 4 and doc_id % 2 = 0").select("path", "head").union(files.where("doc_id % 7 = 0").select("path", "head")).distinct()
