@@ -20,11 +20,12 @@ N-grams are told apart by 56 bits of a hash. Other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ ORDER = 3
 ALPHA = 0.4
 LEAST_COUNT = 2
 BLOCK_BYTES = 8 << 20
+TOGETHER = 32
 SENT = "part int, block long, n int, width int, size int, hashes binary, counts binary"
 ANSWER = "block long, n int, part int, counts binary"
 SCORED = "doc_id long, n_tokens long, known double, unigrams long"
@@ -52,18 +54,41 @@ def unpack_counts(packed: bytes, size: int) -> np.ndarray:
 
 
 def pack_hashes(sorted_hashes: np.ndarray) -> tuple[int, bytes]:
-    """(bytes for each, differences of rising numbers)."""
+    """(bytes for each, differences of rising numbers); bytes of one weight lie together, for the high ones compress."""
     gaps = np.diff(sorted_hashes, prepend=np.uint64(0))
     width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
-    return width, np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    planes = np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return width, zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpack_hashes(packed: bytes, width: int, size: int) -> np.ndarray:
     gaps = np.zeros((size, 8), np.uint8)
-    gaps[:, :width] = np.frombuffer(packed, np.uint8).reshape(size, width)
+    planes = zstandard.ZstdDecompressor().decompress(packed, max_output_size=width * size)
+    gaps[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, size).T
     return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, piece): texts of one block that lie together, as one compressed table."""
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        table = pa.Table.from_batches([batch.select(["doc_id", "text"])]).take(pa.array(order))
+        edges = np.flatnonzero(np.concatenate([[True], block[order][1:] != block[order][:-1], [True]])) if len(block) else []
+        made = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, table.schema, options=options) as writer:
+                writer.write_table(table.slice(a, b - a).combine_chunks())
+            made.append(out.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(block[order][edges[:-1]] if len(block) else [], pa.int64()), pa.array(made, pa.binary())], names=["block", "piece"])
+
+
+def unpacked(table: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("piece")])
+
+
 class Block:
     """The tokens of a block's texts, and the counts of its n-grams as far as they are known."""
 
@@ -184,21 +209,24 @@ def score(documents: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYT
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
-    texts = documents.select(F.col("doc_id").cast("long"), "text")
-    texts = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks))).groupBy("block")
+    # Neighbouring ids share a block, so that pieces of the shuffle hold many texts.
+    near = F.coalesce(F.floor(F.col("doc_id") / TOGETHER), F.xxhash64("text"))
+    rows = documents.select(F.col("doc_id").cast("long"), "text").withColumn("block", F.pmod(F.xxhash64(near), F.lit(blocks)).cast("long"))
+    texts = rows.mapInArrow(pieces, "block long, piece binary").groupBy("block")
 
     def first(orders: list[int]) -> Callable:
-        return lambda key, table: _send(key[0].as_py(), Block(table.column("text")), orders, parts)
+        return lambda key, table: _send(key[0].as_py(), Block(unpacked(table).column("text")), orders, parts)
 
     def later(orders: list[int]) -> Callable:
         def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-            made = Block(table.column("text"))
+            made = Block(unpacked(table).column("text"))
             made.learn(answers)
             return _send(key[0].as_py(), made, orders, parts)
 
         return run
 
     def finish(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        table = unpacked(table)
         made = Block(table.column("text"))
         made.learn(answers)
         return _score(table.column("doc_id"), made, order)
