@@ -8,6 +8,7 @@ import edges, stubs) is column expressions over them. A file that can't be parse
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,6 +24,7 @@ IMPORT = "struct<name: string, module: string, level: int, is_from: boolean>"
 POSITION = "struct<name: string, line: int, character: int>"
 PARSED = f"doc string, imports array<string>, constants array<{ATTRIBUTE}>, functions array<{FUNCTION}>, classes array<{CLASS}>, edges array<{IMPORT}>, positions array<{POSITION}>, error string"
 MODELS = frozenset(["BaseModel", "BaseSettings", "pydantic.BaseModel"])
+_DEFINED = re.compile(r"(?:async\s+)?(?:def|class)\s+(?=\w)")
 LEVELS = ("hierarchy", "modules", "signatures")
 
 
@@ -151,9 +153,8 @@ class _Module:
         out = []
         for node in self.tree.body:
             if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
-                line = self.lines[node.lineno - 1]
-                at = line.find(node.name, node.col_offset + (5 if isinstance(node, ast.ClassDef) else 3))
-                out.append({"name": node.name, "line": node.lineno - 1, "character": at if at >= 0 else node.col_offset})
+                found = _DEFINED.match(self.lines[node.lineno - 1], node.col_offset)
+                out.append({"name": node.name, "line": node.lineno - 1, "character": found.end() if found else node.col_offset})
             elif isinstance(node, ast.Assign | ast.AnnAssign):
                 target = node.targets[0] if isinstance(node, ast.Assign) else node.target
                 named = isinstance(target, ast.Name)

@@ -88,7 +88,7 @@ class SourceTree(DataSource):
 def scan(spark: SparkSession, root: str, symlinks: str = "forbid", content: bool = True) -> DataFrame:
     """All entries under a root, whatever rules may hide."""
     spark.dataSource.register(SourceTree)
-    return spark.read.format("sourcetree").option("root", str(root)).option("symlinks", symlinks).option("content", str(content).lower()).load()
+    return spark.read.format("sourcetree").option("root", os.path.abspath(root)).option("symlinks", symlinks).option("content", str(content).lower()).load()
 
 
 def decided(entries: DataFrame, rules: list[ignore.Rule], include: list[str] | None = None) -> DataFrame:
