@@ -73,18 +73,18 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def dual_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights over the scaled indicators, and the bias, that minimise the L2-regularised hinge loss (dual coordinate descent)."""
     w, bias, alpha = np.zeros(len(scale)), 0.0, np.zeros(len(rows))
-    values = [scale[r] for r in rows]
-    norm = np.array([v @ v + 1 for v in values])
+    norm = np.array([scale[r] @ scale[r] + 1 for r in rows])
     order, rng = np.arange(len(rows)), np.random.default_rng(seed)
     for _ in range(epochs):
         rng.shuffle(order)
         moved = 0.0
         for i in order:
-            gradient = y[i] * (w[rows[i]] @ values[i] + bias) - 1
+            row, values = rows[i], scale[rows[i]]
+            gradient = y[i] * (w[row] @ values + bias) - 1
             new = min(max(alpha[i] - gradient / norm[i], 0.0), cost[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
-                w[rows[i]] += step * values[i]
+                w[row] += step * values
                 bias += step
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
@@ -93,20 +93,17 @@ def dual_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost:
     return w, bias
 
 
-def head(rows: list[np.ndarray], positive: np.ndarray) -> tuple[np.ndarray, float] | None:
+def head(rows: list[np.ndarray], positive: np.ndarray, size: int) -> tuple[np.ndarray, float] | None:
     """Weight of each feature, log-count ratio included, and the bias; None if a class has no rows."""
     if positive.all() or not positive.any():
         return None
-    size = 1 << BITS
-    count = [np.bincount(np.concatenate([r for r, p in zip(rows, positive, strict=True) if p == c] or [np.zeros(0, np.int32)]), minlength=size) for c in (True, False)]
-    frequent = count[0] + count[1] >= LEAST_DOCUMENTS
-    p, q = ((c + 1.0) * frequent for c in count)
-    ratio = np.zeros(size)
-    ratio[frequent] = np.log((p[frequent] / p.sum()) / (q[frequent] / q.sum()))
-    kept = [r[frequent[r]] for r in rows]
+    p, q = np.ones(size), np.ones(size)
+    for row, good in zip(rows, positive, strict=True):  # each feature once a row
+        (p if good else q)[row] += 1
+    ratio = np.log((p / p.sum()) / (q / q.sum()))
     y = np.where(positive, 1.0, -1.0)
     cost = COST * np.where(positive, len(y) / (2 * positive.sum()), len(y) / (2 * (~positive).sum()))
-    w, bias = dual_descent(kept, ratio, y, cost)
+    w, bias = dual_descent(rows, ratio, y, cost)
     return w * ratio, bias
 
 
@@ -119,15 +116,26 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MOST_PER_CLASS) ->
     # The sample is bounded by `most` for each combination, so it is small at every size of the input.
     labelled = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality", "toxic")
     found = labelled.select("text", "quality", "toxic").mapInArrow(_feature_rows, "quality int, toxic int, features binary").toArrow()
-    rows = [np.frombuffer(x, np.int32) for x in found.column("features").to_pylist()]
     good = np.array(found.column("quality").to_pylist(), dtype=float) > 0
     toxic = np.array(found.column("toxic").to_pylist(), dtype=float) > 0
-    order = np.lexsort([[len(r) for r in rows], [int(r.astype(np.int64).sum()) for r in rows]]) if rows else []
-    rows = [rows[i] for i in order]
+    # Features of few documents are dropped at once, and the rest numbered, so the driver holds little.
+    seen = np.zeros(1 << BITS, np.int32)
+    for x in found.column("features"):
+        seen[np.frombuffer(x.as_buffer(), np.int32)] += 1
+    kept = np.flatnonzero(seen >= LEAST_DOCUMENTS)
+    number = np.full(1 << BITS, -1, np.int32)
+    number[kept] = np.arange(len(kept))
+    rows = []
+    for x in found.column("features"):
+        row = number[np.frombuffer(x.as_buffer(), np.int32)]
+        rows.append(row[row >= 0])
+    del found, seen, number
+    order = np.lexsort([[len(r) for r in rows], [int(r.astype(np.int64).sum()) for r in rows]]) if rows else np.zeros(0, np.int64)
+    rows, good, toxic = [rows[i] for i in order], good[order], toxic[order]
     weights, bias, known = np.zeros((1 << BITS, 2), np.float32), np.zeros(2), [False, False]
-    for k, positive in enumerate((good[order] if len(rows) else good, toxic[order] if len(rows) else toxic)):
-        if len(rows) and (made := head(rows, positive)) is not None:
-            weights[:, k], bias[k], known[k] = made[0], made[1], True
+    for k, positive in enumerate((good, toxic)):
+        if rows and (made := head(rows, positive, len(kept))) is not None:
+            weights[kept, k], bias[k], known[k] = made[0], made[1], True
     return {"weights": weights, "bias": bias, "known": known, "mask": weights.any(axis=1)}
 
 
