@@ -37,6 +37,8 @@ ALPHA = 0.4
 LEAST_COUNT = 2
 BLOCK_BYTES = 8 << 20
 TOGETHER = 32
+#: Of text for each partition of the count table, at most.
+PART_BYTES = 32 << 20
 SENT = "part int, block long, n int, width int, size int, hashes binary, counts binary"
 ANSWER = "block long, n int, part int, counts binary"
 SCORED = "doc_id long, n_tokens long, known double, unigrams long"
@@ -206,9 +208,9 @@ def _score(ids: pa.ChunkedArray, made: Block, order: int) -> pa.Table:
 def score(documents: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_tokens, log_score, mean_log_score) of every document."""
     spark = tuned(documents.sparkSession)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PART_BYTES))
     # Neighbouring ids share a block, so that pieces of the shuffle hold many texts.
     near = F.coalesce(F.floor(F.col("doc_id") / TOGETHER), F.xxhash64("text"))
     rows = documents.select(F.col("doc_id").cast("long"), "text").withColumn("block", F.pmod(F.xxhash64(near), F.lit(blocks)).cast("long"))
