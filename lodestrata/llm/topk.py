@@ -1,9 +1,11 @@
 """Exact top-k search: every vector is a query against all others, by cosine.
 
-Vectors are scaled to length 1 and packed into shards of SHARD rows. Every pair of shards is a tile:
-one matrix product, whose k best per query are selected at once. Tiles' lists are merged in a tree,
-MERGE lists at a time, so no task ever holds more than a few shards or lists, whatever the number of
-vectors. Scores are 64-bit; ties go to the smaller vec_id.
+Vectors are packed into shards of SHARD rows, as they are, and scaled to length 1 where they're used.
+Every unordered pair of shards is a tile: matrix products of STRIP columns at a time, whose k best are
+selected at once for the rows of both shards. Tiles' lists are merged in a tree, MERGE lists at a
+time, so no task ever holds more than a few shards or lists, whatever the number of vectors. Scores
+are rounded to DIGITS places, so that equal vectors tie whatever the order in which a product was
+summed; ties go to the smaller vec_id.
 
 Defined results: null vectors, empty ones, ones with nulls or numbers that aren't finite, zero vectors,
 and rows without vec_id are neither queries nor results. Vectors are compared within equal lengths
@@ -19,11 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from lodestrata.llm.session import cut
 
 K = 10
-SHARD = 2048
+SHARD = 4096
+STRIP = 1024
+DIGITS = 12
 MERGE = 8
 LISTS = "size int, q int, ids binary, lists binary, scores binary"
 SCHEMA = "vec_id long, rank int, neighbour_id long, score double"
@@ -43,16 +48,34 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
 
 
-def _tile(size: int, q: int, ids: bytes, vectors: bytes, other_ids: bytes, others: bytes, k: int) -> tuple:
-    a, b = np.frombuffer(ids, np.int64), np.frombuffer(other_ids, np.int64)
-    scores = np.frombuffer(vectors).reshape(-1, size) @ np.frombuffer(others).reshape(-1, size).T
-    lists = np.broadcast_to(b, scores.shape)
-    own = a[:, None] == b[None, :]
-    if own.any():
-        scores[own] = -np.inf
-        lists = np.where(own, -1, lists)
-    found, values = best(lists, scores, k)
-    return size, q, ids, found.tobytes(), values.tobytes()
+def _unit(packed: bytes, size: int, wide: bool) -> np.ndarray:
+    v = np.frombuffer(packed, np.float64 if wide else np.float32).reshape(-1, size).astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+
+
+def _tile(r: dict, k: int, wide: bool) -> Iterator[tuple]:
+    """(shard, other shard, ids, lists, scores) for the rows of the one shard and, if it is another, of the other."""
+    size = r["size"]
+    a, b = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["other_ids"], np.int64)
+    left, right = _unit(r["vectors"], size, wide), _unit(r["others"], size, wide)
+    same = r["q"] == r["other"]
+    rows, columns = [], []
+    for at in range(0, len(b), STRIP):
+        scores, ids = np.round(left @ right[at : at + STRIP].T, DIGITS), b[at : at + STRIP]
+        if not same:
+            columns.append(best(np.broadcast_to(a, scores.T.shape), scores.T, k))
+            lists = np.broadcast_to(ids, scores.shape)
+        else:
+            own = a[:, None] == ids[None, :]
+            scores[own] = -np.inf
+            lists = np.where(own, -1, ids[None, :])
+        rows.append(best(lists, scores, k))
+    found, values = best(*(np.concatenate(x, axis=1) for x in zip(*rows, strict=True)), k)
+    yield r["q"], r["other"], r["ids"], found.tobytes(), values.tobytes()
+    if not same:
+        found, values = (np.concatenate(x) for x in zip(*columns, strict=True))
+        yield r["other"], r["q"], r["other_ids"], found.tobytes(), values.tobytes()
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -71,7 +94,7 @@ def _merge(table: pa.Table, k: int) -> pa.Table:
 
 def search(embeddings: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame:
     """(vec_id, rank, neighbour_id, score): the k nearest others of every vector."""
-    vectors = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
+    vectors = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").alias("v"))
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     vectors = vectors.where("vec_id is not null and v is not null").where(sound)
     vectors = vectors.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("size", F.size("v"))
@@ -79,32 +102,33 @@ def search(embeddings: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame:
     shards = F.create_map(*[F.lit(x) for size, n in sorted(count.items()) for x in (size, -(-n // shard))]) if count else F.create_map()
     number = F.pmod(F.xxhash64("vec_id"), shards[F.col("size")]).cast("int") if count else F.lit(0)
 
+    wide = not isinstance(embeddings.schema["embedding"].dataType.elementType, FloatType)
+
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("vec_id")
-        v = np.array(table.column("v").to_pylist(), float)
-        v /= np.abs(v).max(axis=1, keepdims=True)
-        v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
+        v = np.array(table.column("v").to_pylist(), np.float64 if wide else np.float32)
         ids = table.column("vec_id").to_numpy()
         return pa.table({"size": pa.array([key[0].as_py()], pa.int32()), "q": pa.array([key[1].as_py()], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([v.tobytes()], pa.binary())})
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                yield _rows([_tile(r["size"], r["q"], r["ids"], r["vectors"], r["other_ids"], r["others"], k)])
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                made = [(r["size"], *x) for x in _tile(r, k, wide)]
+                columns = list(zip(*made, strict=True))
+                types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["size", "q", "other", "ids", "lists", "scores"])
 
     packed = cut(vectors.withColumn("q", number).groupBy("size", "q").applyInArrow(pack, "size int, q int, ids binary, vectors binary"))
-    other = packed.select(F.col("size").alias("other_size"), F.col("q").alias("other"), F.col("ids").alias("other_ids"), F.col("vectors").alias("others"))
-    # Pairs of numbers are small; shards are joined to them by shuffles, one side after the other.
-    number_pairs = packed.select("size", "q").join(packed.select("size", F.col("q").alias("other")), "size")
-    work = number_pairs.join(packed, ["size", "q"]).join(other, (F.col("size") == F.col("other_size")) & (number_pairs["other"] == other["other"]))
-    work = work.select("size", "q", other["other"].alias("other"), "ids", "vectors", "other_ids", "others").repartition("size", "q", "other")
-    lists = work.select("size", "q", "ids", "vectors", "other_ids", "others", "other").mapInArrow(
-        lambda batches: (pa.RecordBatch.from_arrays([*out.columns, b.column("other").slice(i, 1)], names=[*_NAMES, "other"]) for b in batches for i, out in enumerate(tiles([b]))), LISTS + ", other int"
-    )
+    other = packed.select("size", F.col("q").alias("other"), F.col("ids").alias("other_ids"), F.col("vectors").alias("others"))
+    # Pairs of numbers are small; each pair's two shards are joined to it, and the tile is made where the second one is.
+    pairs = packed.select("size", "q").join(packed.select("size", F.col("q").alias("other")), "size").where("q <= other")
+    work = pairs.join(packed, ["size", "q"]).join(other, ["size", "other"])
+    lists = work.select("size", "q", "other", "ids", "vectors", "other_ids", "others").mapInArrow(tiles, "size int, q int, other int, ids binary, lists binary, scores binary")
     width = max([-(-n // shard) for n in count.values()], default=1)
     while width > 1:
         step = lists.withColumn("other", F.floor(F.col("other") / MERGE).cast("int")).groupBy("size", "q", "other")
-        lists = step.applyInArrow(lambda key, table: _merge(table.drop(["other"]), k).append_column("other", pa.array([key[2].as_py()], pa.int32())), LISTS + ", other int")
+        lists = step.applyInArrow(lambda key, table: _merge(table.drop(["other"]), k).append_column("other", pa.array([key[2].as_py()], pa.int32())), LISTS + ", other int").select("size", "q", "other", "ids", "lists", "scores")
         width = -(-width // MERGE)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
