@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: Never of interest: caches, environments, build products, logs, system files.
 DEFAULTS = tuple(
-    ".DS_Store .anatomy/ .git/ .mypy_cache/ .pytest_cache/ .ruff_cache/ .runtime/ .tox/ .venv/ "
+    ".DS_Store .git/ .mypy_cache/ .pytest_cache/ .ruff_cache/ .runtime/ .skeleton/ .tox/ .venv/ "
     "*.bak *.egg-info/ *.log *.log.* *.pyc *.tmp Thumbs.db __pycache__/ build/ dist/".split()
 )
 #: Read from the root only, in this order.

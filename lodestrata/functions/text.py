@@ -68,18 +68,25 @@ def plain_block(path: Column, binary: Column, content: Column, encoding: str = "
     return F.when(binary, F.concat(head, F.lit("[BINARY CONTENT OMITTED]\n"))).otherwise(shown)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once a row however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def lines(text: Column) -> Column:
     """The lines of a text, as universal newlines divide it; a final newline begins no line."""
-    split = F.split(text, "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85  ]")
-    return F.when(F.element_at(split, -1) == "", F.slice(split, F.lit(1), F.size(split) - 1)).otherwise(split)
+    split = F.split(text, "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]")
+    return bound(split, lambda rows: F.when(F.element_at(rows, -1) == "", F.slice(rows, F.lit(1), F.size(rows) - 1)).otherwise(rows))
 
 
 def numbered(text: Column) -> Column:
     """Each line after its number, as wide as the last number; a final newline stays."""
-    rows = lines(text)
-    width = F.length(F.greatest(F.size(rows), F.lit(1)).cast("string"))
-    shown = F.transform(rows, lambda line, k: F.concat(F.lpad((k + 1).cast("string"), width, F.lit(" ")), F.lit(": "), line))
-    return F.concat(F.array_join(shown, "\n"), F.when(text.endswith("\n"), "\n").otherwise(""))
+
+    def shown(rows: Column) -> Column:
+        width = F.length(F.greatest(F.size(rows), F.lit(1)).cast("string"))
+        return F.array_join(F.transform(rows, lambda line, k: F.concat(F.lpad((k + 1).cast("string"), width, F.lit(" ")), F.lit(": "), line)), "\n")
+
+    return F.concat(bound(lines(text), shown), F.when(text.endswith("\n"), "\n").otherwise(""))
 
 
 def headings(text: Column, most: int = 200) -> Column:

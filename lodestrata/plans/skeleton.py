@@ -27,7 +27,7 @@ from lodestrata.sources import tree
 
 VERSION = "1"
 FORMATS = {"yaml": ".yaml", "json": ".json", "markdown": ".md"}
-DEFAULT_EXCLUDE = (".anatomy", ".git", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".venv", "*.pyc", "__pycache__")
+DEFAULT_EXCLUDE = (".git", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".venv", ".skeleton", "*.pyc", "__pycache__")
 
 
 class SkeletonError(ValueError):
@@ -126,7 +126,7 @@ def module_documents(skeleton: Skeleton) -> Iterator[tuple[str, dict]]:
 def _markdown_hierarchy(document: dict) -> str:
     m = document["metadata"]
     totals = " | ".join(f"{k.title()}: {m['total_' + k]}" for k in ("packages", "modules", "classes", "functions"))
-    out = ["# Anatomize", "", f"Sources: {', '.join(m['sources'])} | {totals}", "", f"**Token Estimate:** ~{m['token_estimate']:,}", "", "## Package Hierarchy", ""]
+    out = ["# Skeleton", "", f"Sources: {', '.join(m['sources'])} | {totals}", "", f"**Token Estimate:** ~{m['token_estimate']:,}", "", "## Package Hierarchy", ""]
     for name, package in document["packages"].items():
         out += [f"### {name}", ""]
         for title in ("Subpackages", "Modules"):

@@ -9,7 +9,7 @@ from lodestrata.functions import outline, pysource
 from lodestrata.plans import pack as packing
 from lodestrata.plans import skeleton
 
-NAMES = (".anatomize.yaml", ".anatomize.yml")
+NAMES = (".lodestrata.yaml", ".lodestrata.yml")
 RENAMED = {"respect_standard_ignores": "standard_ignores", "fit_to_max_output": "fit", "summary_config": "bounds", "pyright_langserver_cmd": "langserver"}
 
 
@@ -47,7 +47,7 @@ class Source:
 
 @dataclass
 class Config:
-    output: str = ".anatomy"
+    output: str = ".skeleton"
     sources: list[Source] = field(default_factory=list)
     level: str = "modules"
     formats: list[str] = field(default_factory=lambda: ["yaml"])

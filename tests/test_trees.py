@@ -188,7 +188,7 @@ def test_skeleton_errors(spark, root, tmp_path):
 
 
 def test_config(tmp_path):
-    path = tmp_path / ".anatomize.yaml"
+    path = tmp_path / ".lodestrata.yaml"
     path.write_text(config.dump(config.Config(sources=[config.Source("src", level="signatures")])))
     (tmp_path / "a/b").mkdir(parents=True)
     assert config.find(tmp_path / "a/b") == path
@@ -205,7 +205,7 @@ def test_cli(spark, root, tmp_path, monkeypatch, capsys):
     assert cli.main(["generate", str(root), "--output", "sk", "--format", "json", "--level", "modules"]) == 0
     assert cli.main(["validate", str(root), "--output", "sk"]) == 0
     assert cli.main(["estimate", str(root)]) == 0
-    os.remove(".anatomize.yaml")
+    os.remove(".lodestrata.yaml")
     assert cli.main(["pack", str(root), "--output", "p.json", "--token-tree"]) == 0
     assert "kept.txt (2)" in capsys.readouterr().out
     (root / "app.py").write_text("import pkg.none\n")
