@@ -18,7 +18,7 @@ from lodestrata.functions import text
 
 FORMATS = {"markdown": ".md", "plain": ".txt", "json": ".json", "xml": ".xml", "jsonl": ".jsonl"}
 ENCODINGS = ("verbatim", "fence-safe", "base64")
-_INTRO = "This is a deterministic, token-efficient snapshot for AI review."
+_INTRO = "The same tree always gives the same text."
 
 
 def canonical(value: object) -> str:
@@ -63,9 +63,8 @@ class Header:
                 raise ValueError("Markdown needs fence-safe or base64 content")
             out = ["# Code Pack", ""]
             if not self.minimal:
-                hints = ("Start with **Structure** to understand the repository layout.", "Jump to **Files** to read specific paths.", "Binary files are listed but content is omitted.")
-                more = "If this is too large/noisy, re-run with `--include/--ignore`, dependency slicing,\n  or `--compress`."
-                out += [_INTRO, "", "## How to use", *(f"- {h}" for h in (*hints, more)), "", "## Summary"]
+                hints = ("**Structure** shows how the tree is laid out.", "**Files** holds what each path contains; binary files are only named.", "To make this smaller, choose by globs or imports, or compress Python.")
+                out += [_INTRO, "", "## How to use", *(f"- {h}" for h in hints), "", "## Summary"]
             out += [f"- {k}: `{v}`" for k, v in facts.items()]
             if chosen:
                 out.append("- Selected: {files} files ({python_files} python, {binary_files} binary), {total_bytes} bytes".format(**chosen))
@@ -79,7 +78,7 @@ class Header:
             out.append("SELECTED: files={files} python={python_files} binary={binary_files} bytes={total_bytes}".format(**chosen))
         out.append("")
         if not self.minimal:
-            out += ["NOTES:", "- Structure is a tree of selected paths.", "- File contents follow; binary content is omitted.", ""]
+            out += ["NOTES:", "- Chosen paths come first, as a tree; then what they contain.", "- Binary files are only named.", ""]
         if tree is not None:
             out += ["STRUCTURE:", *tree, ""]
         return "\n".join([*out, *(["FILES:"] if self.include_files else [])]) + "\n"
