@@ -243,9 +243,16 @@ class Boosted:
 def fit(pages: DataFrame, most: int = MOST_PAGES) -> Boosted | None:
     """Trees fitted on at most `most` pages that mark their main text, those whose html hashes lowest."""
     tuned(pages.sparkSession)
+    hashed = F.xxhash64("html")
     marked = pages.select("html").where(F.lower("html").rlike(r"<(article|main)\b|role\s*=\s*.?main"))
-    # The hash orders pages without regard to their place; only `most` are ever collected.
-    sources = [r[0] for r in marked.orderBy(F.xxhash64("html"), "html").limit(most).collect()]
+    # Only the lowest hashes are looked at, so what tasks send doesn't grow with their number; more of them if few are marked.
+    share = min(1.0, 2 * most / max(1, pages.count()))
+    while True:
+        least = marked if share == 1 else marked.where(hashed < int(-(1 << 63) + share * (1 << 64)))
+        sources = [r[0] for r in least.orderBy(hashed, "html").limit(most).collect()]
+        if share == 1 or len(sources) == most:
+            break
+        share = min(1.0, share * 8)
     x, y = [], []
     for source in sources:
         page = Page(source)
