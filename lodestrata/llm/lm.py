@@ -2,7 +2,8 @@
 
 Tokens are runs of anything but ASCII white space, in lower case. A token's score is
 count(n-gram) / count(history) for the longest n-gram, up to ORDER, whose count is at least
-LEAST_COUNT, times ALPHA for each order given up; single tokens score count / all tokens.
+LEAST_COUNT (1, so none is cut off), times ALPHA for each order given up; single tokens score
+count / all tokens.
 A document's score is the sum of its tokens' logarithms.
 
 All documents are hashed into blocks of about BLOCK_BYTES. A block explodes its texts into
@@ -10,7 +11,7 @@ n-grams and sends each distinct one once, as a hash with its count, to the count
 partition that the hash names; the partition adds up what all blocks sent, and answers each
 block with the counts of what it sent, in the order sent. So a row of the shuffle carries
 thousands of n-grams, whatever the size of the corpus. Higher orders follow in rounds: an n-gram
-whose prefix or suffix is too rare is too rare itself, and isn't sent.
+whose prefix or suffix occurs once in the corpus occurs once itself, so it counts 1 without being sent.
 
 Defined results: null and empty texts have 0 tokens, score 0 and no mean. Rows are scored one by one, so
 repeated rows, or ids, count and score as often as they occur; a null doc_id is scored as any other.
@@ -34,7 +35,7 @@ from lodestrata.llm.session import cut, tuned
 
 ORDER = 3
 ALPHA = 0.4
-LEAST_COUNT = 2
+LEAST_COUNT = 1
 BLOCK_BYTES = 8 << 20
 TOGETHER = 32
 #: Of text for each partition of the count table, at most.
@@ -107,15 +108,19 @@ class Block:
         self.row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         self.counts: dict[int, np.ndarray] = {}
 
+    def inside(self, n: int) -> np.ndarray:
+        """For each token with n - 1 more after it in the block, whether they are of one text."""
+        return self.row[n - 1 :] == self.row[: max(0, len(self.row) - n + 1)]
+
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, place of the last token) of the n-grams that may be frequent enough."""
+        """(hash, place of the last token) of the n-grams that may occur more than once, as far as is known."""
         if n == 1:
             return self.h, np.arange(len(self.h))
         if len(self.h) < n:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        use = self.row[n - 1 :] == self.row[: len(self.row) - n + 1]
+        use = self.inside(n)
         if (lower := self.counts.get(n - 1)) is not None and n > 2:
-            use &= (lower[n - 1 :] > 0) & (lower[n - 2 : -1] > 0)
+            use &= (lower[n - 1 :] > 1) & (lower[n - 2 : -1] > 1)
         start = np.flatnonzero(use)
         out = self.h[start]
         for k in range(1, n):
@@ -134,14 +139,16 @@ class Block:
         begin = np.flatnonzero(new)
         return rising[begin], np.diff(np.append(begin, len(h))), at, last
 
-    def learn(self, answers: pa.Table) -> None:
-        for n in sorted(set(answers.column("n").to_pylist())):
+    def learn(self, answers: pa.Table, most: int) -> None:
+        """Takes the answers for the orders up to `most`; there are none where nothing had to be sent."""
+        for n in range(1, most + 1):
             mine = answers.filter(pc.equal(answers.column("n"), n)).sort_by("part").column("counts").to_pylist()
             hashes, _, at, last = self.distinct(n)
             sizes = [int.from_bytes(x[:4], "little") for x in mine]
             found = np.concatenate([unpack_counts(x[4:], s) for x, s in zip(mine, sizes, strict=True)] or [np.zeros(0, np.int64)])
             assert len(found) == len(hashes), "an answer is missing"
             self.counts[n] = np.zeros(len(self.h), np.int64)
+            self.counts[n][n - 1 :] = self.inside(n)  # those not sent occur once
             self.counts[n][last] = found[at]
 
 
@@ -171,8 +178,6 @@ def _tally(sent: pa.Table) -> pa.Table:
         rising = hashes[order]
         begin = np.flatnonzero(np.concatenate([[True], rising[1:] != rising[:-1]]))
         total = np.add.reduceat(counts[order], begin)
-        if n > 1:
-            total[total < LEAST_COUNT] = 0
         mine = np.empty(len(hashes), np.int64)
         mine[order] = np.repeat(total, np.diff(np.append(begin, len(hashes))))
         last = 0
@@ -194,7 +199,7 @@ def _score(ids: pa.ChunkedArray, made: Block, order: int) -> pa.Table:
         value = np.zeros(len(made.h))
         for n in range(order, 0, -1):
             c = made.counts.get(n, np.zeros(len(made.h), np.int64))
-            here = left & (c > 0) & (length >= n - 1)
+            here = left & (c >= LEAST_COUNT) & (length >= n - 1)
             value[here] = np.log(c[here]) + math.log(ALPHA) * (np.minimum(length[here], order - 1) - (n - 1))
             if n > 1:
                 value[here] -= np.log(made.counts[n - 1][np.flatnonzero(here) - 1])
@@ -222,7 +227,7 @@ def score(documents: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYT
     def later(orders: list[int]) -> Callable:
         def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
             made = Block(unpacked(table).column("text"))
-            made.learn(answers)
+            made.learn(answers, orders[0] - 1)
             return _send(key[0].as_py(), made, orders, parts)
 
         return run
@@ -230,7 +235,7 @@ def score(documents: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYT
     def finish(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         table = unpacked(table)
         made = Block(table.column("text"))
-        made.learn(answers)
+        made.learn(answers, order)
         return _score(table.column("doc_id"), made, order)
 
     known: DataFrame | None = None
