@@ -3,10 +3,9 @@
 A document's shingles are its runs of SHINGLE words in lower case (of all its words, if fewer).
 LANES hash functions give the least value each; a byte of each makes the signature. TREES orders
 of all signatures are made by rotating them, each order sorted. Neighbours in an order are
-candidates if they share a prefix of LEAST_DEPTH lanes. Depth adapts by region: a run of
-signatures with a common prefix is compared all with all once it has at most REGION members;
-a larger run is cut by one lane more, again and again, while the neighbours inside it, those
-with the longest common prefixes, stay candidates too. Whole signatures decide: candidates whose
+candidates if they share a prefix of LEAST_DEPTH lanes: each run of signatures with such a common
+prefix is compared all with all, one of more than REGION members in blocks; only blocks whose rows
+are all linked already are skipped. Whole signatures decide: candidates whose
 estimated similarity is at least ACCEPT are linked, and linked documents form groups (connected
 components). Equal signatures are merged before, so groups of any size of exact copies cost one row.
 
@@ -21,6 +20,7 @@ least doc_id of a group stays, so ties can't arise. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +37,7 @@ TREES = 20
 STEP = LANES // TREES
 LEAST_DEPTH = 3
 REGION = 64
+BLOCK = 1024
 SIMILARITY = 0.5
 ACCEPT = SIMILARITY - 0.045
 
@@ -83,25 +84,55 @@ def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
 
 
-def candidates(depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows to compare; depth[i] is the common prefix of rows i and i + 1 of a sorted order."""
+def candidates(depth: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Pairs of rows to compare, and the runs (first, last) of more than REGION rows, to be compared all with all.
+
+    depth[i] is the common prefix of rows i and i + 1 of a sorted order.
+    """
     near = np.flatnonzero(depth >= LEAST_DEPTH)
     if not len(near):
-        return near, near
-    left, right = [near], [near + 1]
+        return near, near, []
     breaks = np.flatnonzero(np.diff(near) > 1)
-    stack = [(int(a), int(b) + 1, LEAST_DEPTH) for a, b in zip(near[np.concatenate([[0], breaks + 1])], near[np.concatenate([breaks, [len(near) - 1]])], strict=True) if b > a]
-    while stack:
-        low, high, d = stack.pop()  # rows low..high share d lanes
-        if high - low < REGION:
-            i, j = np.triu_indices(high - low + 1, 2)
-            left.append(i + low)
-            right.append(j + low)
-            continue
-        inside = np.flatnonzero(depth[low:high] <= d) + low  # cuts of the region one lane deeper
-        edges = [low - 1, *inside.tolist(), high]
-        stack += [(a + 1, b, d + 1) for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a > 2]
-    return np.concatenate(left), np.concatenate(right)
+    runs = np.stack([near[np.concatenate([[0], breaks + 1])], near[np.concatenate([breaks, [len(near) - 1]])] + 1], axis=1)
+    size = runs[:, 1] - runs[:, 0] + 1
+    left, right = [], []
+    for n in np.unique(size[size <= REGION]):
+        i, j = np.triu_indices(n, 1)
+        low = runs[size == n, :1]
+        left.append((low + i).ravel())
+        right.append((low + j).ravel())
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right]), [(int(a), int(b)) for a, b in runs[size > REGION]]
+
+
+def linked(lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, row) that join what all links of a run, compared all with all, would join."""
+    n = len(lanes)
+    least = math.ceil(LANES * (ACCEPT * (1 - 1 / 256) + 1 / 256))  # lanes that agree, as in similar()
+    columns = np.ascontiguousarray(lanes.T)
+    of = np.arange(n)  # the least row that each is linked to so far
+    left, right = [], []
+    for a in range(0, n, BLOCK):
+        for b in range(a, n, BLOCK):
+            top, side = of[a : a + BLOCK], of[b : b + BLOCK]
+            if (top == top[0]).all() and (side == top[0]).all():
+                continue
+            agree = np.zeros((len(top), len(side)), np.uint8)
+            for lane in columns:
+                agree += lane[a : a + BLOCK, None] == lane[None, b : b + BLOCK]
+            i, j = np.nonzero(agree >= least)
+            i, j = i + a, j + b
+            while len(differ := np.flatnonzero(of[i] != of[j])):
+                i, j = i[differ], j[differ]
+                _, first = np.unique(of[i], return_index=True)
+                left.append(i[first])
+                right.append(j[first])
+                roots = _roots(of[i[first]].tolist(), of[j[first]].tolist())
+                to = np.arange(n)
+                to[list(roots)] = list(roots.values())
+                of = to[of]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
 def _roots(left: list[int], right: list[int]) -> dict[int, int]:
@@ -132,10 +163,15 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     label, rep = label[order], rep[order]
     differ = label[1:] != label[:-1]
     depth = np.where(differ.any(axis=1), differ.argmax(axis=1), LANES + 1) - 1
-    i, j = candidates(depth)
+    i, j, crowds = candidates(depth)
     del differ
     keep = np.concatenate([np.zeros(0, bool), *(similar(label[i[k : k + 50_000], 1:], label[j[k : k + 50_000], 1:]) >= ACCEPT for k in range(0, len(i), 50_000))])
-    found = _roots(rep[i[keep]].tolist(), rep[j[keep]].tolist())
+    i, j = [i[keep]], [j[keep]]
+    for low, high in crowds:
+        a, b = linked(label[low : high + 1, 1:])
+        i.append(a + low)
+        j.append(b + low)
+    found = _roots(rep[np.concatenate(i)].tolist(), rep[np.concatenate(j)].tolist())
     links = [(a, b) for a, b in found.items() if a != b]
     for k in range(0, len(links), 10_000):
         a, b = zip(*links[k : k + 10_000], strict=True)

@@ -6,12 +6,14 @@ import math
 import os
 import sys
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from oracle import same_rows  # noqa: E402
 
-from lodestrata.llm import catalog, lm  # noqa: E402
+from lodestrata.llm import catalog, lm, neardup  # noqa: E402
 
 
 def documents(spark, rows):
@@ -43,3 +45,40 @@ def test_other_orders_count_all(spark, order):
         grams = [w[max(0, i - order + 1) : i + 1] for i in range(len(w))]
         want = sum(math.log(count(g) / (count(g[:-1]) if len(g) > 1 else sum(map(len, split)))) for g in grams)
         assert got[k] == pytest.approx(want, abs=1e-9)
+
+
+# --- near duplicates
+
+
+def labels(lanes):
+    turned = [np.concatenate([np.full((len(lanes), 1), t, np.uint8), np.roll(lanes, -t * neardup.STEP, axis=1)], axis=1) for t in range(neardup.TREES)]
+    label = [x.tobytes() for x in np.concatenate(turned)]
+    return pa.RecordBatch.from_arrays([pa.array(label, pa.binary()), pa.array(np.tile(np.arange(len(lanes)), neardup.TREES))], names=["label", "rep"])
+
+
+def test_pairs_apart_in_a_large_run_are_compared():
+    """Rows that share three lanes, and a pair of them that agrees on 100 of 120 lanes but not on the fourth."""
+    rng = np.random.default_rng(1)
+    lanes = rng.integers(0, 256, (200, neardup.LANES), dtype=np.uint8)
+    lanes[:, :3] = 7
+    lanes[:, 3] = np.arange(200)
+    other = np.concatenate([[3], np.arange(neardup.STEP + 1, neardup.LANES, neardup.STEP)])  # no other tree brings them together
+    lanes[150, other] = lanes[10, other] + 1
+    same = np.setdiff1d(np.arange(neardup.LANES), other)
+    lanes[150, same] = lanes[10, same]
+    lanes[:, 3] = np.arange(200)
+    links = [(u, v) for x in neardup._links([labels(lanes)]) for u, v in zip(*(c.to_pylist() for c in x.columns), strict=True)]
+    assert links == [(150, 10)]
+
+
+@pytest.mark.parametrize("n", [3, 300, 2500])
+def test_blocks_link_what_all_pairs_link(n):
+    rng = np.random.default_rng(n)
+    lanes = rng.integers(0, 256, (n, neardup.LANES), dtype=np.uint8)
+    for _ in range(n // 2):
+        a, b = rng.integers(0, n, 2)
+        copied = rng.random(neardup.LANES) < rng.uniform(0.3, 0.7)
+        lanes[b, copied] = lanes[a, copied]
+    i, j = np.triu_indices(n, 1)
+    keep = np.concatenate([neardup.similar(lanes[i[k : k + 50_000]], lanes[j[k : k + 50_000]]) >= neardup.ACCEPT for k in range(0, len(i), 50_000)])
+    assert neardup._roots(i[keep].tolist(), j[keep].tolist()) == neardup._roots(*(x.tolist() for x in neardup.linked(lanes)))
