@@ -12,12 +12,13 @@ the documents does it all; beyond that, fingerprints are joined by a shuffle.
 
 Defined results: null texts, and texts with under SPAN such bytes, on either side, give no spans.
 Items or documents that repeat give a row for each. An empty benchmark gives no rows. Rows with a
-null doc_id or item_id are searched as any other in the first way; the shuffled way, which must
-fetch texts by id, leaves them out. Offsets count bytes of the reduced texts.
+null doc_id or item_id are searched as any other; the shuffled way fetches texts by keys of its own,
+one for each row, so that ids needn't be there or be distinct. Offsets count bytes of the reduced texts.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import textkit
-from lodestrata.llm.session import tuned
+from lodestrata.llm.session import shared_folder, tuned
 
 K, WINDOW = 24, 25
 SPAN = K + WINDOW - 1
@@ -145,8 +146,15 @@ def small_index(benchmark: DataFrame, most: int = BROADCAST_BYTES) -> Index | No
     return Index(rows.column("item_id").to_pylist(), rows.column("text").combine_chunks())
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """The rows with a `key` each, written out so that every reading sees the same keys."""
+    path = f"{shared_folder(rows.sparkSession)}/keyed-{uuid.uuid4().hex}"
+    rows.withColumn("key", F.monotonically_increasing_id()).write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def _shuffled(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The spans, by a join of both sides' fingerprints."""
+    """The spans of keyed rows (key, id, text), with the document's key, by a join of both sides' fingerprints."""
 
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +162,7 @@ def _shuffled(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                 data, offsets = reduced(data, offsets)
                 at, h = winnow(data, offsets)
                 row = np.searchsorted(offsets, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row + first)), pa.array(h.astype(np.int64)), pa.array(at - offsets[row])], names=["id", "h", "at"])
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row + first)), pa.array(h.astype(np.int64)), pa.array(at - offsets[row])], names=["key", "h", "at"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,25 +174,29 @@ def _shuffled(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                     data, offsets = reduced(data, offsets)
                     made += [data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 side.append(made)
-            for doc, item, shift, a, b in zip(batch.column("doc_id").to_pylist(), batch.column("item_id").to_pylist(), batch.column("shift").to_pylist(), *side, strict=True):
-                rows += [(doc, item, *x) for x in spans(a, b, shift)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "doc_start", "doc_end", "item_start"])
+            for doc, item, key, shift, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "doc_key", "shift")), *side, strict=True):
+                rows += [(doc, item, *x, key) for x in spans(a, b, shift)]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "doc_start", "doc_end", "item_start", "doc_key"])
+
+    docs, items = documents.where("text is not null"), benchmark.where("text is not null")
+    made = [side.select("key", "text").mapInArrow(fingerprints, "key long, h long, at long") for side in (docs, items)]
+    hits = made[0].withColumnsRenamed({"key": "doc_key", "at": "p"}).join(made[1].withColumnsRenamed({"key": "item_key", "at": "q"}), "h")
+    hits = hits.select("doc_key", "item_key", (F.col("p") - F.col("q")).alias("shift")).distinct()
+    both = hits.join(docs.withColumnsRenamed({"key": "doc_key", "id": "doc_id"}), "doc_key").join(items.withColumnsRenamed({"key": "item_key", "id": "item_id", "text": "item"}), "item_key")
+    return both.select("doc_id", "item_id", "doc_key", "shift", "text", "item").mapInArrow(compare, f"{SCHEMA}, doc_key long")
+
 
-    docs = documents.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
-    items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
-    made = [side.mapInArrow(fingerprints, "id long, h long, at long") for side in (docs, items)]
-    hits = made[0].withColumnsRenamed({"id": "doc_id", "at": "p"}).join(made[1].withColumnsRenamed({"id": "item_id", "at": "q"}), "h")
-    hits = hits.select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("shift")).distinct()
-    both = hits.join(docs.withColumnsRenamed({"id": "doc_id"}), "doc_id").join(items.withColumnsRenamed({"id": "item_id", "text": "item"}), "item_id")
-    return both.select("doc_id", "item_id", "shift", "text", "item").mapInArrow(compare, SCHEMA)
+def _items(benchmark: DataFrame) -> DataFrame:
+    return _keyed(benchmark.select(F.col("item_id").cast("long").alias("id"), "text"))
 
 
 def find(documents: DataFrame, benchmark: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, item_id, doc_start, doc_end, item_start) of every shared span of SPAN bytes or more."""
     context = tuned(documents.sparkSession).sparkContext
     if (index := small_index(benchmark, most)) is None:
-        return _shuffled(documents, benchmark)
+        docs = _keyed(documents.select(F.col("doc_id").cast("long").alias("id"), "text"))
+        return _shuffled(docs, _items(benchmark)).drop("doc_key")
     shared = context.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +213,10 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, most: int = BROADCAST
     """The documents that share no such span with the benchmark, with all their columns."""
     context = tuned(documents.sparkSession).sparkContext
     if (index := small_index(benchmark, most)) is None:
-        return documents.join(_shuffled(documents, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*documents.columns)
+        whole = _keyed(documents.select(F.struct(*documents.columns).alias("row")))
+        docs = whole.select("key", F.col("row.doc_id").cast("long").alias("id"), "row.text")
+        gone = _shuffled(docs, _items(benchmark)).select(F.col("doc_key").alias("key")).distinct()
+        return whole.join(gone, "key", "left_anti").select("row.*")
     shared = context.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

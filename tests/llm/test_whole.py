@@ -13,7 +13,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from oracle import same_rows  # noqa: E402
 
-from lodestrata.llm import catalog, lm, neardup  # noqa: E402
+from lodestrata.llm import catalog, decontaminate, lm, neardup  # noqa: E402
 
 
 def documents(spark, rows):
@@ -82,3 +82,18 @@ def test_blocks_link_what_all_pairs_link(n):
     i, j = np.triu_indices(n, 1)
     keep = np.concatenate([neardup.similar(lanes[i[k : k + 50_000]], lanes[j[k : k + 50_000]]) >= neardup.ACCEPT for k in range(0, len(i), 50_000)])
     assert neardup._roots(i[keep].tolist(), j[keep].tolist()) == neardup._roots(*(x.tolist() for x in neardup.linked(lanes)))
+
+
+# --- decontamination
+
+
+def test_both_ways_take_null_and_repeated_ids(spark):
+    item, second = ("the quick brown fox jumps over lazy dogs and %s runs away from them again %s" % (x, x) for x in ("one", "seven"))
+    clean = "nothing of the kind is said in here, not in any of these words at all, whatever one looks for"
+    rows = [(None, f"x {item}"), (None, clean), (1, f"{second} y"), (1, clean), (1, f"{second} y"), (2, None), (3, f"z {item} {second}")]
+    docs = documents(spark, rows)
+    bench = spark.createDataFrame([(None, item), (7, second), (7, item), (None, None)], "item_id long, text string")
+    found, kept = ([sorted(map(str, f(docs, bench, most).collect())) for most in (1 << 20, 0)] for f in (decontaminate.find, decontaminate.keep_clean))
+    assert found[0] == found[1] and any("doc_id=None, item_id=None" in x for x in found[0])
+    assert kept[0] == kept[1] == sorted(str(r) for r in docs.collect() if r.text in (clean, None))
+    assert decontaminate.keep_clean(docs, bench, 0).columns == docs.columns
