@@ -125,7 +125,7 @@ class Page:
             own[node] += len(text)
             marks[node] += len(_MARKS.findall(text))
             words[node] += text.count(" ") + 1
-            upper[node] += sum(map(str.isupper, text[:200])) * len(text) / min(len(text), 200)
+            upper[node] += sum(map(str.isupper, text))
             first[node] = min(first[node], place)
             place += len(text)
         linked[in_link] = own[in_link]

@@ -13,7 +13,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from oracle import same_rows  # noqa: E402
 
-from lodestrata.llm import catalog, decontaminate, lm, neardup  # noqa: E402
+from lodestrata.llm import catalog, decontaminate, html_extract, lm, neardup  # noqa: E402
 
 
 def documents(spark, rows):
@@ -97,3 +97,13 @@ def test_both_ways_take_null_and_repeated_ids(spark):
     assert found[0] == found[1] and any("doc_id=None, item_id=None" in x for x in found[0])
     assert kept[0] == kept[1] == sorted(str(r) for r in docs.collect() if r.text in (clean, None))
     assert decontaminate.keep_clean(docs, bench, 0).columns == docs.columns
+
+
+# --- HTML
+
+
+def test_upper_case_is_counted_over_the_whole_text():
+    """Upper-case letters after the first 200 characters count, in the node and in those above it."""
+    late, even = ("<div><p>" + x + "</p></div>" for x in ("a" * 300 + "B" * 100, "aaaB" * 100))
+    a, b = (html_extract.Page(x).features() for x in (late, even))
+    assert (a == b).all()
