@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SNIFFED_BYTES = 8192
+#: The start of a UTF-8 character at the end of bytes, in hexadecimal.
+CUT_OFF = "^(?:..)*?((?:F0[9AB].|F[1-3][89AB].|F48.)(?:[89AB].)?|E0[AB].|E[1-9A-CEF][89AB].|ED[89].|C[2-9A-F]|D.|E.|F[0-4])$"
 LANGUAGES = {"bash": "sh", "json": "json", "markdown": "md markdown", "python": "py", "toml": "toml", "yaml": "yml yaml"}
 
 
@@ -25,7 +27,9 @@ def language(path: Column) -> Column:
 def is_binary(content: Column) -> Column:
     """Whether the first bytes hold a NUL or aren't UTF-8; a character cut off at their end counts as neither."""
     head = F.substring(content, 1, SNIFFED_BYTES)
-    return (F.position(F.lit(b"\x00"), head) > 0) | ~F.is_valid_utf8(head.cast("string"))
+    last = F.regexp_extract(F.hex(F.substring(head, SNIFFED_BYTES - 2, 3)), CUT_OFF, 1)
+    whole = F.when(F.octet_length(content) > SNIFFED_BYTES, F.substring(head, F.lit(1), SNIFFED_BYTES - F.length(last) / 2)).otherwise(head)
+    return (F.position(F.lit(b"\x00"), head) > 0) | ~F.is_valid_utf8(whole.cast("string"))
 
 
 def byte_length(text: Column) -> Column:

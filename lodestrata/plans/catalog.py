@@ -208,6 +208,16 @@ def reverse_closure(spark, sf_dir):
     return graph.reverse_closure("docs.d2", corpus.imports(spark, sf_dir), found).select("module")
 
 
+@query(f"""WITH RECURSIVE {IMPORTS_SQL}, back AS (SELECT 'docs.d' || doc_id AS module FROM ids WHERE doc_id = 2 UNION SELECT l.src FROM back r JOIN links l ON l.dst = r.module WHERE l.resolved),
+ahead AS (SELECT module FROM back UNION SELECT l.dst FROM ahead r JOIN links l ON l.src = r.module WHERE l.resolved)
+SELECT module FROM back UNION SELECT module FROM ahead""")
+def closure_union_all(spark, sf_dir):
+    imports = corpus.imports(spark, sf_dir)
+    found = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.expr("concat('docs.d', doc_id)").alias("module"), F.lit(False).alias("is_package")).distinct()
+    back = graph.reverse_closure("docs.d2", imports, found).select("module")
+    return back.union(graph.forward_closure(back, imports, found).select("module")).distinct()
+
+
 @query(f"""WITH {IMPORTS_SQL} SELECT src AS module, dst AS target FROM links WHERE NOT resolved
 UNION ALL SELECT 'docs.d' || doc_id, 'docs.gone' || doc_id FROM ids WHERE doc_id % 2 = 1 AND doc_id % 3 > 0""")
 def unresolved_local_imports(spark, sf_dir):
@@ -232,6 +242,13 @@ def required_missing(spark, sf_dir):
     return files.where("doc_id % 11 = 0").select("path").join(chosen, "path", "left_anti")
 
 
+@query(f"WITH {FILES_SQL} SELECT path FROM files WHERE NOT ({_INCLUDES})")
+def required_missing_all(spark, sf_dir):
+    files = corpus.files(spark, sf_dir)
+    chosen = files.where(ignore.included_column(INCLUDED, F.col("path"))).select("path")
+    return files.select("path").join(chosen, "path", "left_anti")
+
+
 @query(f"""WITH {FILES_SQL} SELECT dir1 AS key, dir1 || '/' AS line FROM files UNION SELECT dir2, '  ' || split_part(dir2, '/', 2) || '/' FROM files
 UNION SELECT path, '    ' || split_part(path, '/', 3) FROM files""")
 def structure_tree(spark, sf_dir):
@@ -359,7 +376,7 @@ def jsonl_records(spark, sf_dir):
 @query(f"""WITH {FILES_SQL} SELECT path, doc_id % 4 < 2 AS is_binary FROM files WHERE doc_id % 4 <> 1 OR size_bytes > 0""")
 def binary_sniff(spark, sf_dir):
     files = corpus.files(spark, sf_dir).where("doc_id % 4 <> 1 or size_bytes > 0")
-    spoiled = F.expr("CASE doc_id % 4 WHEN 0 THEN concat(X'00', encode(left(content, 2000), 'UTF-8')) WHEN 1 THEN concat(X'FF', encode(left(content, 2000), 'UTF-8')) ELSE encode(left(content, 2000), 'UTF-8') END")
+    spoiled = F.expr("CASE doc_id % 4 WHEN 0 THEN concat(X'00', encode(content, 'UTF-8')) WHEN 1 THEN concat(X'FF', encode(content, 'UTF-8')) ELSE encode(content, 'UTF-8') END")
     return files.select("path", text.is_binary(spoiled).alias("is_binary"))
 
 
