@@ -9,8 +9,7 @@ Several findings in a document all bind it (AND).
 
 Defined results: a null or empty text, or one without findings, has verdict 'none'. A malformed or empty
 expression is kept as found; its verdict is 'unknown'. Of overlapping phrases the longest
-counts, and phrases inside words don't. Expressions are cut at EXPRESSION_CHARS, which no sane one reaches;
-a cut one is malformed. Repeated rows give repeated, equal rows. Other columns are ignored.
+counts, and phrases inside words don't. An expression is the whole rest of its line. Repeated rows give repeated, equal rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -58,7 +57,6 @@ NOTICES = {
     "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved": "proprietary",
 }
-EXPRESSION_CHARS = 2000
 SCHEMA = "doc_id long, findings long, licences array<string>, expressions array<string>, verdict string"
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+|\S")
 _LINE = re.compile(r"[\r\n]")
@@ -172,11 +170,9 @@ def judge(text: str | None) -> tuple[int, list[str], list[str], str]:
             continue
         stop = _LINE.search(low, end)
         stop = stop.start() if stop else len(low)
-        written = low[end : min(stop, end + EXPRESSION_CHARS)].strip().removesuffix("*/").removesuffix("-->").strip()
+        written = low[end:stop].strip().removesuffix("*/").removesuffix("-->").strip()
         expressions.append(written)
         try:
-            if stop - end > EXPRESSION_CHARS:
-                raise ValueError(written)
             allowed, named = evaluate(written)
             licences.update(named)
         except ValueError:

@@ -13,7 +13,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from oracle import same_rows  # noqa: E402
 
-from lodestrata.llm import catalog, decontaminate, html_extract, lm, neardup  # noqa: E402
+from lodestrata.llm import catalog, decontaminate, html_extract, license_scan, lm, neardup  # noqa: E402
 
 
 def documents(spark, rows):
@@ -107,3 +107,12 @@ def test_upper_case_is_counted_over_the_whole_text():
     late, even = ("<div><p>" + x + "</p></div>" for x in ("a" * 300 + "B" * 100, "aaaB" * 100))
     a, b = (html_extract.Page(x).features() for x in (late, even))
     assert (a == b).all()
+
+
+# --- licences
+
+
+def test_long_expressions_are_evaluated():
+    written = " and ".join(["mit", "apache-2.0"] * 200)
+    assert len(written) > 2000
+    assert license_scan.judge(f"SPDX-License-Identifier: {written}") == (1, ["apache-2.0", "mit"], [written], "permissive")
