@@ -273,7 +273,7 @@ def naive_scores(texts):
         for i in range(len(w)):
             for n in range(min(3, i + 1), 0, -1):
                 gram = tuple(w[i - n + 1 : i + 1])
-                if n == 1 or c[n - 1][gram] >= lm.LEAST_COUNT:
+                if n == 1 or c[n - 1][gram]:
                     score += log(c[n - 1][gram] / (c[n - 2][gram[:-1]] if n > 1 else total)) + log(lm.ALPHA) * (min(i, 2) - n + 1)
                     break
         out.append((len(w), score))
@@ -425,6 +425,9 @@ def test_topk_against_all_pairs(spark):
         assert [round(-got[i][r][1], 12) for r in range(1, 6)] == pytest.approx([s for s, _ in want])
         assert [got[i][r][0] for r in range(1, 6)] == [j for _, j in want]
     assert got[600][1][0] == 601 and len(got[600]) == 1
+    asked = topk.search(table, table.where("vec_id % 10 = 0"), k=5, shard=20).collect()
+    assert sorted((r.vec_id, r.rank, r.neighbour_id, r.score) for r in asked) == sorted((i, r, *x) for i in got if i % 10 == 0 for r, x in got[i].items())
+    assert topk.search(table, table.limit(0)).count() == 0
     assert topk.search(table.limit(0)).count() == 0
 
 
