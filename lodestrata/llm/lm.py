@@ -1,9 +1,8 @@
 """Stupid-backoff language-model scores of documents, under the corpus's own n-gram counts.
 
 Tokens are runs of anything but ASCII white space, in lower case. A token's score is
-count(n-gram) / count(history) for the longest n-gram, up to ORDER, whose count is at least
-LEAST_COUNT (1, so none is cut off), times ALPHA for each order given up; single tokens score
-count / all tokens.
+count(n-gram) / count(history) for the longest n-gram, up to ORDER, that the corpus has (the
+document itself included), times ALPHA for each order given up; single tokens score count / all tokens.
 A document's score is the sum of its tokens' logarithms.
 
 All documents are hashed into blocks of about BLOCK_BYTES. A block explodes its texts into
@@ -35,7 +34,6 @@ from lodestrata.llm.session import cut, tuned
 
 ORDER = 3
 ALPHA = 0.4
-LEAST_COUNT = 1
 BLOCK_BYTES = 8 << 20
 TOGETHER = 32
 #: Of text for each partition of the count table, at most.
@@ -199,7 +197,7 @@ def _score(ids: pa.ChunkedArray, made: Block, order: int) -> pa.Table:
         value = np.zeros(len(made.h))
         for n in range(order, 0, -1):
             c = made.counts.get(n, np.zeros(len(made.h), np.int64))
-            here = left & (c >= LEAST_COUNT) & (length >= n - 1)
+            here = left & (c > 0) & (length >= n - 1)
             value[here] = np.log(c[here]) + math.log(ALPHA) * (np.minimum(length[here], order - 1) - (n - 1))
             if n > 1:
                 value[here] -= np.log(made.counts[n - 1][np.flatnonzero(here) - 1])
