@@ -2,20 +2,27 @@
 
 A document's shingles are its runs of SHINGLE words in lower case (of all its words, if fewer).
 LANES hash functions give the least value each; a byte of each makes the signature. TREES orders
-of all signatures are made by rotating them, each order sorted. Neighbours in an order are
-candidates if they share a prefix of LEAST_DEPTH lanes: each run of signatures with such a common
-prefix is compared all with all, one of more than REGION members in blocks; only blocks whose rows
-are all linked already are skipped. Whole signatures decide: candidates whose
-estimated similarity is at least ACCEPT are linked, and linked documents form groups (connected
-components). Equal signatures are merged before, so groups of any size of exact copies cost one row.
-
-SIMILARITY is the Jaccard similarity that counts as a near copy; ACCEPT lies a standard error
-below, since a signature only estimates it.
+of all signatures are made by rotating them. All orders together are one table of labels, which is
+partitioned by ranges of whole labels and sorted, so a prefix that many rows share is split by the
+lanes that follow, and a task has about ROWS rows whatever they are. Neighbours in an order are
+candidates if they share a prefix of LEAST_DEPTH lanes: a run of rows with such a common prefix.
+Runs of up to CROWD rows are compared all with all where they lie. In longer ones, and in those that
+reach the end of a task's range, neighbours are compared as they stream by, each with the WINDOW rows
+that share most lanes with it; then only rows of different groups are compared with one another, in
+tiles of CROWD by CROWD rows that are spread over tasks. So no pair of a run goes unexamined but those
+whose rows are linked already, and no task holds more than two blocks.
+
+Whole signatures decide: candidates whose estimated similarity is at least ACCEPT are linked, and linked
+documents form groups (connected components). Equal signatures are merged before, so exact copies cost a row
+for all of them. SIMILARITY is the Jaccard similarity that counts as a near copy; ACCEPT lies a standard
+error below, since a signature only estimates it.
 
 Defined results: a null text, or one without words, is in a group of its own and stays. Rows with a null
-doc_id are left out of groups and stay in `keep_one`. Rows that repeat a doc_id are one document, with the
-least signature of its texts; they give one row in `groups`, and stay or go together in `keep_one`. The
-least doc_id of a group stays, so ties can't arise. Other columns are ignored.
+doc_id are left out of groups and stay in `keep_one`. Rows of equal doc_id and text are one document; they
+give one row in `groups`, and stay or go together in `keep_one`. Rows that repeat a doc_id with another
+text are documents of their own. The least doc_id of a group stays; of several texts of that id in the group,
+the one whose hash is least. An empty table has no groups. Texts count to their end, however long. Other
+columns are ignored, whatever their names, and passed through by `keep_one`.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import textkit
-from lodestrata.llm.session import cut, tuned
+from lodestrata.llm.session import cut, fresh, tuned
 
 SHINGLE = 3
 LANES = 120
@@ -38,6 +45,9 @@ STEP = LANES // TREES
 LEAST_DEPTH = 3
 REGION = 64
 BLOCK = 1024
+#: Rows of labels for each task, at least so many together in Python, and of a run that is compared in one task.
+ROWS, TOGETHER, CROWD = 100_000, 20_000, 4096
+WINDOW = 8
 SIMILARITY = 0.5
 ACCEPT = SIMILARITY - 0.045
 
@@ -105,21 +115,25 @@ def candidates(depth: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[in
     return np.concatenate([none, *left]), np.concatenate([none, *right]), [(int(a), int(b)) for a, b in runs[size > REGION]]
 
 
-def linked(lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (row, row) that join what all links of a run, compared all with all, would join."""
+def linked(lanes: np.ndarray, of: np.ndarray | None = None, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, row) that join what all links would join that rows, compared all with all, have.
+
+    of: for each row the least row that it is linked to from before. split: only rows before it are compared with those after it.
+    """
     n = len(lanes)
     least = math.ceil(LANES * (ACCEPT * (1 - 1 / 256) + 1 / 256))  # lanes that agree, as in similar()
     columns = np.ascontiguousarray(lanes.T)
-    of = np.arange(n)  # the least row that each is linked to so far
+    of = np.arange(n) if of is None else of
     left, right = [], []
-    for a in range(0, n, BLOCK):
-        for b in range(a, n, BLOCK):
-            top, side = of[a : a + BLOCK], of[b : b + BLOCK]
+    for a in range(0, n if split is None else split, BLOCK):
+        ends = min(a + BLOCK, n if split is None else split)
+        for b in range(a if split is None else split, n, BLOCK):
+            top, side = of[a:ends], of[b : b + BLOCK]
             if (top == top[0]).all() and (side == top[0]).all():
                 continue
             agree = np.zeros((len(top), len(side)), np.uint8)
             for lane in columns:
-                agree += lane[a : a + BLOCK, None] == lane[None, b : b + BLOCK]
+                agree += lane[a:ends, None] == lane[None, b : b + BLOCK]
             i, j = np.nonzero(agree >= least)
             i, j = i + a, j + b
             while len(differ := np.flatnonzero(of[i] != of[j])):
@@ -151,31 +165,103 @@ def _roots(left: list[int], right: list[int]) -> dict[int, int]:
     return {x: root(x) for x in parent}
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of one partition of orders; a label's first byte is its tree."""
-    table = pa.Table.from_batches(list(batches), pa.schema([("label", pa.binary()), ("rep", pa.int64())]))
-    if not table.num_rows:
-        return
-    label = np.frombuffer(b"".join(table.column("label").to_pylist()), np.uint8).reshape(-1, LANES + 1)
-    rep = table.column("rep").to_numpy()
-    del table
-    order = np.argsort(label.reshape(-1).view(f"S{LANES + 1}"), kind="stable")
-    label, rep = label[order], rep[order]
+def _compared(label: np.ndarray, node: np.ndarray, crowd: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[int, int]]]:
+    """Links of whole runs, each compared all with all, and the runs (first, end) of more than `crowd` rows, which aren't."""
     differ = label[1:] != label[:-1]
     depth = np.where(differ.any(axis=1), differ.argmax(axis=1), LANES + 1) - 1
-    i, j, crowds = candidates(depth)
+    i, j, large = candidates(depth)
     del differ
     keep = np.concatenate([np.zeros(0, bool), *(similar(label[i[k : k + 50_000], 1:], label[j[k : k + 50_000], 1:]) >= ACCEPT for k in range(0, len(i), 50_000))])
-    i, j = [i[keep]], [j[keep]]
-    for low, high in crowds:
-        a, b = linked(label[low : high + 1, 1:])
-        i.append(a + low)
-        j.append(b + low)
-    found = _roots(rep[np.concatenate(i)].tolist(), rep[np.concatenate(j)].tolist())
-    links = [(a, b) for a, b in found.items() if a != b]
-    for k in range(0, len(links), 10_000):
-        a, b = zip(*links[k : k + 10_000], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
+    found = [(node[i[keep]], node[j[keep]])]
+    for low, high in large:
+        if high - low < crowd:
+            a, b = linked(label[low : high + 1, 1:])
+            found.append((node[a + low], node[b + low]))
+    return found, [(low, high + 1) for low, high in large if high - low >= crowd]
+
+
+def _streamed(label: np.ndarray, node: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links of rows of one run with the WINDOW rows that follow."""
+    found = []
+    for k in range(1, min(WINDOW, len(node) - 1) + 1):
+        near = similar(label[k:, 1:], label[:-k, 1:]) >= ACCEPT
+        found.append((node[k:][near], node[:-k][near]))
+    return found
+
+
+def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(labels, nodes) of at least TOGETHER rows at a time, but for the last."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= TOGETHER:
+            yield _arrays(held)
+            held, rows = [], 0
+    if rows:
+        yield _arrays(held)
+
+
+def _arrays(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    table = pa.Table.from_batches(batches)
+    return np.frombuffer(b"".join(table.column("label").to_pylist()), np.uint8).reshape(-1, LANES + 1), table.column("node").to_numpy()
+
+
+def _links(batches: Iterator[pa.RecordBatch], crowd: int = CROWD) -> Iterator[pa.RecordBatch]:
+    """Of one range of sorted labels (their first byte is the tree): links (u, v), and rows u of runs whose members are yet to be compared."""
+
+    def prefixes(label: np.ndarray) -> np.ndarray:
+        return label[:, : LEAST_DEPTH + 1].astype(np.int64) @ (1 << 8 * np.arange(LEAST_DEPTH, -1, -1, dtype=np.int64))
+
+    def sent(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        roots = _roots(*(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in found)]).tolist() for k in (0, 1)))
+        pairs = [(a, b) for a, b in roots.items() if a != b]
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64()), pa.nulls(len(pairs), pa.int64())], names=["u", "v", "run"])
+
+    def waiting(key: int, node: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.nulls(len(node), pa.int64()), pa.array(np.full(len(node), key), pa.int64())], names=["u", "v", "run"])
+
+    label, node = np.zeros((0, LANES + 1), np.uint8), np.zeros(0, np.int64)
+    opening = True  # whether the first row held is of the range's first run, which may begin before it
+    over = 0  # rows at the front that went out as waiting already; they're held for the window only
+    for more, nodes in _batched(batches):
+        label, node = np.concatenate([label, more]), np.concatenate([node, nodes])
+        key = prefixes(label)
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        # The first run, if it is to wait, and the last run, which may go on.
+        first = begin[1] if len(begin) > 1 else 0
+        if first and (opening or over):
+            yield waiting(key[0], node[over:first])
+            yield sent(_streamed(label[:first], node[:first]))
+            label, node, key, begin = label[first:], node[first:], key[first:], begin[1:] - first
+            opening, over = False, 0
+        if last := begin[-1]:
+            found, crowds = _compared(label[:last], node[:last], crowd)
+            for a, b in crowds:
+                yield waiting(key[a], node[a:b])
+                found += _streamed(label[a:b], node[a:b])
+            yield sent(found)
+            label, node, key = label[last:], node[last:], key[last:]
+        if len(node) > crowd:
+            yield waiting(key[0], node[over:])
+            yield sent(_streamed(label, node))
+            label, node = label[-WINDOW:], node[-WINDOW:]
+            over = len(node)
+    if len(node):
+        yield waiting(prefixes(label[:1])[0], node[over:])
+        yield sent(_streamed(label, node))
+
+
+def _tile(key: tuple, rows: pa.Table) -> pa.Table:
+    """Links between two blocks of one run, or within one."""
+    rows = rows.sort_by([("block", "ascending"), ("root", "ascending"), ("node", "ascending")])
+    block, node = rows.column("block").to_numpy(), rows.column("node").to_numpy()
+    lanes = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(-1, LANES)
+    _, first, at = np.unique(rows.column("root").to_numpy(), return_index=True, return_inverse=True)
+    same = key[1].as_py() == key[2].as_py()
+    split = None if same else int(np.searchsorted(block, key[2].as_py()))
+    u, v = (np.zeros(0, np.int64),) * 2 if split in (0, len(node)) else linked(lanes, first[at], split)
+    return pa.table({"u": pa.array(node[u], pa.int64()), "v": pa.array(node[v], pa.int64())})
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -203,36 +289,63 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def groups(documents: DataFrame) -> DataFrame:
-    """(doc_id, group_id, keep): group_id is the least doc_id of the group, and that document is kept."""
-    tuned(documents.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(signatures(batch.column("text")), pa.binary())], names=["doc_id", "signature"])
-
-    made = documents.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(run, "doc_id long, signature binary")
-    signed = cut(made.groupBy("doc_id").agg(F.min("signature").alias("signature")))
-    worded = signed.where("signature is not null")
-    reps = worded.groupBy("signature").agg(F.min("doc_id").alias("rep"))
+def _forest(nodes: DataFrame, rows: int, crowd: int) -> DataFrame:
+    """(u, v): for each node that is linked, but the least of its component, that least node."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    turned = reps.select("rep", "signature", tree.alias("tree")).select(
+    labels = nodes.select("node", "signature", tree.alias("tree")).select(
         F.concat(
             F.unhex(F.lpad(F.hex("tree"), 2, "0")),
             F.substring("signature", F.col("tree") * STEP + 1, F.lit(LANES)),
             F.substring("signature", F.lit(1), F.col("tree") * STEP),
         ).alias("label"),
-        "rep",
+        "node",
     )
-    links = turned.repartition(F.substring("label", 1, LEAST_DEPTH + 1)).mapInArrow(_links, "u long, v long")
-    roots = components(links)
-    found = worded.join(reps, "signature").join(roots.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left")
-    found = found.select("doc_id", F.coalesce("root", "rep").alias("group_id"))
-    alone = signed.where("signature is null").select("doc_id", F.col("doc_id").alias("group_id"))
-    return found.unionByName(alone).withColumn("keep", F.col("doc_id") == F.col("group_id"))
+    parts = max(1, math.ceil(nodes.count() * TREES / rows))
+    ordered = labels.repartitionByRange(parts, "label").sortWithinPartitions("label")
+    found = cut(ordered.mapInArrow(lambda batches: _links(batches, crowd), "u long, v long, run long"))
+    roots = components(found.where("run is null").select("u", "v"))
+    waiting = found.where("run is not null").select(F.col("u").alias("node"), "run")
+    waiting = waiting.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    waiting = cut(waiting)
+    runs = waiting.groupBy("run").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
+    spread = waiting.join(runs.select("run", F.ceil(F.col("n") / crowd).cast("int").alias("blocks")), "run").join(nodes.select("node", "signature"), "node")
+    spread = spread.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = spread.groupBy("run", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    more = cut(tiles.applyInArrow(_tile, "u long, v long"))
+    return roots if more.isEmpty() else components(roots.unionByName(more))
+
+
+def groups(documents: DataFrame, rows: int = ROWS, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, group_id, links, keep): group_id is the least doc_id of the group, and that document is kept; links counts the group's other documents."""
+    return _grouped(documents, rows, crowd).select("doc_id", "group_id", "links", "keep")
+
+
+def _grouped(documents: DataFrame, rows: int, crowd: int) -> DataFrame:
+    tuned(documents.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(signatures(batch.column("text")), pa.binary())], names=["doc_id", "h", "signature"])
 
-def keep_one(documents: DataFrame) -> DataFrame:
+    made = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").where("doc_id is not null").mapInArrow(run, "doc_id long, h long, signature binary")
+    signed = cut(made.groupBy("doc_id", "h").agg(F.min("signature").alias("signature")))
+    worded = signed.where("signature is not null")
+    first = F.min(F.struct("doc_id", "h")).alias("first")
+    nodes = cut(worded.groupBy("signature").agg(first, F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
+    roots = _forest(nodes, rows, crowd)
+    placed = nodes.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    whole = placed.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+    found = worded.join(placed.select("signature", "root"), "signature").join(whole, "root")
+    kept = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
+    found = found.select("doc_id", "h", F.col("first.doc_id").alias("group_id"), (F.col("n") - 1).alias("links"), kept.alias("keep"))
+    alone = signed.where("signature is null").select("doc_id", "h", F.col("doc_id").alias("group_id"), F.lit(0).cast("long").alias("links"), F.lit(True).alias("keep"))
+    return found.unionByName(alone)
+
+
+def keep_one(documents: DataFrame, rows: int = ROWS, crowd: int = CROWD) -> DataFrame:
     """The documents without all but one of each group, with all their columns."""
-    gone = groups(documents).where("not keep").select(F.col("doc_id").alias("_gone"))
-    return documents.join(gone, documents["doc_id"] == F.col("_gone"), "left_anti")
+    gone, h = fresh("gone", documents.columns), fresh("h", documents.columns)
+    dropped = _grouped(documents, rows, crowd).where("not keep").select(F.col("doc_id").alias(gone), F.col("h").alias(h))
+    same = (documents["doc_id"].cast("long") == F.col(gone)) & (F.xxhash64(documents["text"]) == F.col(h))
+    return documents.join(dropped, same, "left_anti")

@@ -32,6 +32,14 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, lengthened until no column has it, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut, by a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

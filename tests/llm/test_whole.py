@@ -51,12 +51,66 @@ def test_other_orders_count_all(spark, order):
 
 
 def labels(lanes):
+    """All labels in order, in pieces, as one range of them arrives."""
     turned = [np.concatenate([np.full((len(lanes), 1), t, np.uint8), np.roll(lanes, -t * neardup.STEP, axis=1)], axis=1) for t in range(neardup.TREES)]
-    label = [x.tobytes() for x in np.concatenate(turned)]
-    return pa.RecordBatch.from_arrays([pa.array(label, pa.binary()), pa.array(np.tile(np.arange(len(lanes)), neardup.TREES))], names=["label", "rep"])
+    rows = sorted((x.tobytes(), k % len(lanes)) for k, x in enumerate(np.concatenate(turned)))
+    for k in range(0, len(rows), 700):
+        label, node = zip(*rows[k : k + 700], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(label, pa.binary()), pa.array(node, pa.int64())], names=["label", "node"])
 
 
-def test_pairs_apart_in_a_large_run_are_compared():
+def crowd_of(n, copies):
+    """Signatures that all share half their lanes, and pairs (row, row) of them that share most."""
+    rng = np.random.default_rng(n)
+    lanes = rng.integers(0, 256, (n, neardup.LANES), dtype=np.uint8)
+    lanes[:, ::3] = 7
+    pairs = rng.choice(n, (copies, 2), replace=False)
+    for a, b in pairs:
+        own = rng.random(neardup.LANES) < 0.8
+        lanes[b, own] = lanes[a, own]
+    return lanes, pairs
+
+
+def test_a_task_holds_a_bounded_part_of_a_crowd():
+    """What a range's task holds, and compares at once, doesn't grow with a run; every row of the run is left for tiles."""
+    lanes, _ = crowd_of(30_000, 3)
+    lanes[:, :60] = 7
+    held, out = [], []
+    compared = neardup._streamed
+    neardup._streamed = lambda label, node: held.append(len(node)) or compared(label, node)
+    try:
+        out = list(neardup._links(labels(lanes), 500))
+    finally:
+        neardup._streamed = compared
+    assert max(held) <= neardup.TOGETHER + 700 + 500
+    waiting = {}
+    for x in out:
+        for u, run in zip(x.column("u").to_pylist(), x.column("run").to_pylist(), strict=True):
+            if run is not None:
+                waiting.setdefault(run, []).append(u)
+    hot = [x for x in waiting.values() if len(x) > 500]
+    assert len(hot) >= 8 and all(sorted(x) == list(range(30_000)) for x in hot)
+
+
+@pytest.mark.parametrize(("rows", "crowd"), [(neardup.ROWS, neardup.CROWD), (900, neardup.CROWD), (900, 50), (100, 10)])
+def test_ranges_and_tiles_find_what_all_pairs_find(spark, rows, crowd):
+    lanes, pairs = crowd_of(400, 40)
+    nodes = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(lanes)], "node long, signature binary")
+    assert {tuple(r) for r in neardup._forest(nodes, rows, crowd).collect()} == {(max(a, b), min(a, b)) for a, b in pairs.tolist()}
+
+
+def test_repeated_ids_with_other_texts_are_other_documents(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text), (1, "something else that nobody copied anywhere"), (2, text.upper()), (3, "again " + text), (3, "again " + text), (None, text)]
+    docs = spark.createDataFrame([(i, t, 0, 1, 2) for i, t in rows], "doc_id long, text string, _gone int, gone int, H int")
+    got = sorted((r.doc_id, r.group_id, r.links, r.keep) for r in neardup.groups(docs).collect())
+    assert got == [(1, 1, 0, True), (1, 1, 2, True), (2, 1, 2, False), (3, 1, 2, False)]
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("1", rows[0][1]), ("1", rows[1][1]), ("None", text)])
+
+
+def test_pairs_apart_in_a_large_run_are_compared(spark):
     """Rows that share three lanes, and a pair of them that agrees on 100 of 120 lanes but not on the fourth."""
     rng = np.random.default_rng(1)
     lanes = rng.integers(0, 256, (200, neardup.LANES), dtype=np.uint8)
@@ -67,8 +121,9 @@ def test_pairs_apart_in_a_large_run_are_compared():
     same = np.setdiff1d(np.arange(neardup.LANES), other)
     lanes[150, same] = lanes[10, same]
     lanes[:, 3] = np.arange(200)
-    links = [(u, v) for x in neardup._links([labels(lanes)]) for u, v in zip(*(c.to_pylist() for c in x.columns), strict=True)]
-    assert links == [(150, 10)]
+    for crowd in (neardup.CROWD, 20):  # compared where they lie, and in tiles
+        nodes = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(lanes)], "node long, signature binary")
+        assert [tuple(r) for r in neardup._forest(nodes, neardup.ROWS, crowd).collect()] == [(150, 10)]
 
 
 @pytest.mark.parametrize("n", [3, 300, 2500])
