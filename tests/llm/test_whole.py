@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import random
 import sys
 
 import numpy as np
@@ -13,7 +14,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from oracle import same_rows  # noqa: E402
 
-from lodestrata.llm import catalog, decontaminate, html_extract, license_scan, lm, neardup  # noqa: E402
+from lodestrata.llm import bpe, catalog, decontaminate, html_extract, license_scan, lm, neardup  # noqa: E402
 
 
 def documents(spark, rows):
@@ -171,3 +172,44 @@ def test_long_expressions_are_evaluated():
     written = " and ".join(["mit", "apache-2.0"] * 200)
     assert len(written) > 2000
     assert license_scan.judge(f"SPDX-License-Identifier: {written}") == (1, ["apache-2.0", "mit"], [written], "permissive")
+
+
+# --- BPE
+
+
+def plain_merge(data, ranks):
+    parts = [data[i : i + 1] for i in range(len(data))]
+    while len(parts) > 1:
+        rank, k = min((ranks.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1))
+        if rank == 1 << 40:
+            break
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    return [ranks[p] for p in parts]
+
+
+def test_merging_equals_plain_merging():
+    """Of pieces that are cut at forced pairs, in rounds and with a heap, against plain merging of the whole piece."""
+    ranks = bpe.read_ranks()
+    encoder = bpe.Encoder(ranks)
+    rng = random.Random(9)
+    pieces = [bytes(rng.choice(b"abcdeinorst  .,'x\xc3\xa9\xe6") for _ in range(rng.randrange(1, 40))) for _ in range(1500)]
+    pieces += [b"a" * n for n in (1, 2, 63, 64, 65, 66, 127, 300)] + [b" " * n for n in (2, 65, 200)] + [b"the" * 50, b"qzxj" * 40]
+    got = [np.frombuffer(x, np.int32).tolist() for x in encoder.merged(pieces)]
+    assert got == [plain_merge(x, ranks) for x in pieces]
+    assert encoder.merged([]) == []
+    cuts = sum(int(encoder.forced[a, b]) for x in pieces for a, b in zip(x, x[1:], strict=False))
+    assert cuts > 1000
+
+
+def test_very_long_runs_round_trip():
+    encoder = bpe.Encoder(bpe.read_ranks())
+    for text in (" " * 300_000, "a" * 300_000, "!" * 300_000, "\n" * 300_000, "漢" * 100_000, "ab漢" * 50_000, "x" + " " * 300_000 + "y"):
+        ids = np.frombuffer(encoder.encode(text), np.int32).tolist()
+        assert encoder.decode(ids) == text
+
+
+def test_encoding_many_at_once_equals_one_at_a_time():
+    encoder, other = bpe.Encoder(bpe.read_ranks()), bpe.Encoder(bpe.read_ranks())
+    texts = ["", None, "one two", "one", None, "two " * 300_000, "three"]
+    assert encoder.encode_all(texts) == [None if t is None else other.encode(t) for t in texts]
+    assert encoder.encode_all([]) == []
