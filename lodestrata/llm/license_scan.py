@@ -1,15 +1,19 @@
 """Licence scans: identifier tags and notice phrases, found by Aho-Corasick; expressions evaluated.
 
-One automaton finds every tag (`SPDX-License-Identifier:` and the like) and every notice phrase in
-one pass over a text, in any case. What follows a tag, to the end of the line, is a licence expression
-of identifiers, AND, OR, WITH and parentheses. A shunting-yard parser evaluates it with WITH before
+One automaton finds every tag (`SPDX-License-Identifier:` and the like) in a text, another every notice phrase, in
+any case. Notices are sought in the text with white space, line ends and the comment marks that begin a line folded to one
+space, so a notice may be wrapped over lines in any way. What follows a tag, to the end of the line or to the next tag on it,
+is a licence expression of identifiers, AND, OR, WITH and parentheses. A shunting-yard parser evaluates it with WITH before
 AND before OR, in three-valued logic: a permissive licence is allowed, a restrictive one isn't, an
 unknown one is unknown; WITH an exception that permits linking, a restrictive licence is allowed.
-Several findings in a document all bind it (AND).
+Several findings in a document all bind it (AND). The BSD text counts as the licence of three clauses if
+"neither the name" follows it, else of two.
 
 Defined results: a null or empty text, or one without findings, has verdict 'none'. A malformed or empty
-expression is kept as found; its verdict is 'unknown'. Of overlapping phrases the longest
-counts, and phrases inside words don't. An expression is the whole rest of its line. Repeated rows give repeated, equal rows. Other columns are ignored.
+expression is kept as found; its verdict is 'unknown'. Of overlapping phrases the longest counts; of overlapping ones of one
+length, the first; phrases inside words don't. An expression may have any length, and texts are read to
+their end; the work grows with a text's length alone, however many tags and notices it has. An empty table gives no rows.
+Repeated rows give repeated, equal rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +32,9 @@ from lodestrata.llm.session import tuned
 
 TAGS = ("spdx-license-identifier:", "license-expression:", "licence-expression:")
 PERMISSIVE = frozenset("mit mit-0 apache-2.0 bsd-2-clause bsd-3-clause isc zlib 0bsd unlicense cc0-1.0 cc-by-3.0 cc-by-4.0 bsl-1.0 python-2.0 psf-2.0 ncsa wtfpl".split())
-RESTRICTIVE = frozenset("gpl-2.0 gpl-2.0-only gpl-2.0-or-later gpl-3.0 gpl-3.0-only gpl-3.0-or-later lgpl-2.1 lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only lgpl-3.0-or-later agpl-3.0 agpl-3.0-only agpl-3.0-or-later mpl-2.0 epl-2.0 cc-by-sa-4.0 cc-by-nc-4.0 cc-by-nc-sa-4.0 cc-by-nc-nd-4.0 cc-by-nd-4.0 proprietary".split())
+RESTRICTIVE = frozenset("gpl-1.0-or-later gpl-2.0 gpl-2.0-only gpl-2.0-or-later gpl-3.0 gpl-3.0-only gpl-3.0-or-later lgpl-2.0 lgpl-2.0-only lgpl-2.0-or-later lgpl-2.1 lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only lgpl-3.0-or-later agpl-3.0 agpl-3.0-only agpl-3.0-or-later mpl-2.0 epl-2.0 cc-by-sa-4.0 cc-by-nc-4.0 cc-by-nc-sa-4.0 cc-by-nc-nd-4.0 cc-by-nd-4.0 proprietary".split())
 LINKING = frozenset("classpath-exception-2.0 gcc-exception-3.1 llvm-exception font-exception-2.0 linux-syscall-note".split())
+BSD = "bsd"
 NOTICES = {
     "licensed under the apache license, version 2.0": "apache-2.0",
     "apache license 2.0": "apache-2.0",
@@ -38,12 +43,31 @@ NOTICES = {
     "permission is hereby granted, free of charge, to any person obtaining a copy": "mit",
     "licensed under the gnu general public license, version 3": "gpl-3.0",
     "licensed under the gnu general public license, version 2": "gpl-2.0",
+    "gnu general public license as published by the free software foundation; either version 3 of the license, or": "gpl-3.0-or-later",
+    "gnu general public license as published by the free software foundation, either version 3 of the license, or": "gpl-3.0-or-later",
+    "gnu general public license as published by the free software foundation; either version 2 of the license, or": "gpl-2.0-or-later",
+    "gnu general public license as published by the free software foundation, either version 2 of the license, or": "gpl-2.0-or-later",
+    "gnu general public license as published by the free software foundation; version 2": "gpl-2.0",
+    "gnu general public license as published by the free software foundation, version 2": "gpl-2.0",
+    "gnu general public license as published by the free software foundation, version 3": "gpl-3.0",
+    "gnu general public license, version 3": "gpl-3.0",
+    "gnu general public license, version 2": "gpl-2.0",
+    "gnu general public license v3": "gpl-3.0",
+    "gnu general public license v2": "gpl-2.0",
+    "gnu gpl v3": "gpl-3.0",
+    "gnu gpl v2": "gpl-2.0",
+    "gnu lesser general public license as published by the free software foundation; either version 3 of the license, or": "lgpl-3.0-or-later",
+    "gnu lesser general public license as published by the free software foundation, either version 3 of the license, or": "lgpl-3.0-or-later",
+    "gnu lesser general public license as published by the free software foundation; either version 2.1 of the license, or": "lgpl-2.1-or-later",
+    "gnu library general public license as published by the free software foundation; either version 2 of the license, or": "lgpl-2.0-or-later",
+    "gnu lesser general public license version 3": "lgpl-3.0",
+    "gnu lesser general public license, version 2.1": "lgpl-2.1",
     "gnu general public license version 3": "gpl-3.0",
     "gnu general public license version 2": "gpl-2.0",
     "gnu lesser general public license, version 3": "lgpl-3.0",
     "gnu lesser general public license version 2.1": "lgpl-2.1",
     "gnu affero general public license": "agpl-3.0",
-    "redistribution and use in source and binary forms": "bsd-3-clause",
+    "redistribution and use in source and binary forms": BSD,
     "licensed under the bsd 2-clause license": "bsd-2-clause",
     "licensed under the bsd 3-clause license": "bsd-3-clause",
     "mozilla public license, version 2.0": "mpl-2.0",
@@ -60,6 +84,10 @@ NOTICES = {
 SCHEMA = "doc_id long, findings long, licences array<string>, expressions array<string>, verdict string"
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+|\S")
 _LINE = re.compile(r"[\r\n]")
+_BLANK = re.compile(r"(?:[ \t\f\v]*+[\r\n]++[ \t\f\v]*+(?:(?://++|/\*++|\*++(?!/)|[#;>|%!]++|--++|(?:dnl|rem)\b)[ \t\f\v]*+)?+)++|[ \t\f\v]++")
+#: Every notice has one of these words, so texts without them needn't be folded.
+_HINTS = ("licen", "gpl", "permission", "redistribution", "unencumbered", "reserved", "public domain", "cc0")
+_THREE_CLAUSES = "neither the name"
 _RANK = {"or": 1, "and": 2, "with": 3}
 _VERDICT = {True: "permissive", False: "restrictive", None: "unknown"}
 
@@ -125,26 +153,52 @@ def evaluate(expression: str) -> tuple[bool | None, list[str]]:
 
 
 @cache
-def automaton() -> ahocorasick.Automaton:
+def automaton(tags: bool) -> ahocorasick.Automaton:
     made = ahocorasick.Automaton()
-    for phrase in TAGS:
-        made.add_word(phrase, (len(phrase), None))
-    for phrase, licence in NOTICES.items():
+    for phrase, licence in dict.fromkeys(TAGS).items() if tags else NOTICES.items():
         made.add_word(phrase, (len(phrase), licence))
     made.make_automaton()
     return made
 
 
-def findings(text: str) -> list[tuple[int, int, str | None]]:
-    """(start, end, licence; None for a tag), the longest of those that overlap, in order."""
-    low = text.lower()
+def folded(low: str) -> tuple[str, list[int], list[int]]:
+    """The text with blanks folded; the places in it, and in the text, from which on both run side by side."""
+    pieces, here, there, at, size = [], [0], [0], 0, 0
+    for blank in _BLANK.finditer(low):
+        a, b = blank.span()
+        if b - a == 1 and low[a] == " ":
+            continue
+        pieces.append(low[at:a])
+        size += a - at + 1
+        here.append(size)
+        there.append(b)
+        at = b
+    pieces.append(low[at:])
+    return " ".join(pieces), here, there
+
+
+def _hits(low: str, tags: bool) -> list[tuple[int, int, str | None]]:
     hits = []
-    for last, (size, licence) in automaton().iter(low):
+    for last, (size, licence) in automaton(tags).iter(low):
         start, end = last + 1 - size, last + 1
         before = start > 0 and low[start - 1].isalnum()
         after = licence is not None and end < len(low) and low[end].isalnum()
         if not before and not after:
             hits.append((start, end, licence))
+    return hits
+
+
+def findings(text: str) -> list[tuple[int, int, str | None]]:
+    """(start, end, licence; None for a tag) in the lower-case text, the longest of those that overlap, in order."""
+    low = text.lower()
+    hits = _hits(low, True)
+    if any(x in low for x in _HINTS):
+        plain, here, there = folded(low)
+        place = lambda x: there[k := bisect(here, x) - 1] + x - here[k]
+        last = plain.rfind(_THREE_CLAUSES)
+        for start, end, licence in _hits(plain, False):
+            named = licence if licence != BSD else "bsd-3-clause" if last >= end else "bsd-2-clause"
+            hits.append((place(start), place(end - 1) + 1, named))
     hits.sort(key=lambda x: (x[0] - x[1], x[0]))
     starts: list[int] = []
     chosen: dict[int, tuple[int, int, str | None]] = {}
@@ -163,14 +217,15 @@ def judge(text: str | None) -> tuple[int, list[str], list[str], str]:
     if not found:
         return 0, [], [], "none"
     low, verdict, licences, expressions = text.lower(), True, set(), []
+    tags = [start for start, _, licence in found if licence is None]
+    stops = sorted([*tags, *(x.start() for x in _LINE.finditer(low))]) if tags else []
     for _, end, licence in found:
         if licence is not None:
             licences.add(licence)
             verdict = _both(verdict, _licence(licence))
             continue
-        stop = _LINE.search(low, end)
-        stop = stop.start() if stop else len(low)
-        written = low[end:stop].strip().removesuffix("*/").removesuffix("-->").strip()
+        k = bisect(stops, end - 1)
+        written = low[end : stops[k] if k < len(stops) else len(low)].strip().removesuffix("*/").removesuffix("-->").strip()
         expressions.append(written)
         try:
             allowed, named = evaluate(written)
