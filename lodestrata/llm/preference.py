@@ -10,10 +10,12 @@ its last assistant turn; the rejected one answers there with the latest earlier
 another text or, if there is none, with the first half of the words of the chosen answer (rounded down).
 
 Defined results: turns with a null conv_id are left out, and so are conversations without an
-assistant turn. A null role counts as '' and a null text as ''. Turns are ordered by turn (nulls
+assistant turn. A null role counts as '' and a null text as '', in `render` too; there null turns are left out, and a
+null conversation is one without turns. Turns are ordered by turn (nulls
 first), ties by role and text; rows that are wholly equal are one. If both conversations are equal
 in every turn, the prompt is all of them and both completions are empty. If they share no turn,
-the prompt is empty. Other columns are ignored.
+the prompt is empty. Texts are rendered whole, however long. An empty table gives no rows. Other columns are ignored
+by `pairs`; `render` passes them through, but for those that have the name of one of its own.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.session import fresh
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 ASSISTANT = "assistant"
 
@@ -46,24 +50,33 @@ def _mask(turns: Column) -> Column:
     return F.aggregate(turns, start, step, lambda seen: seen["spans"])
 
 
+def _sound(turns: Column) -> Column:
+    """The turns without nulls."""
+    turn = "array<struct<role: string, text: string>>"
+    whole = F.filter(F.coalesce(turns, F.array().cast(turn)), lambda t: t.isNotNull())
+    return F.transform(whole, lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
+
+
 def render(pairs: DataFrame) -> DataFrame:
     """The rendered prompt, completions and masks of rows with `chosen` and `rejected` (arrays of (role, text)).
 
     Other columns stay as they are, in front.
     """
-    agree = F.zip_with("chosen", "rejected", lambda a, b: F.coalesce(a.eqNullSafe(b), F.lit(False)) & a.isNotNull() & b.isNotNull())
-    shared = F.array_position(F.concat(agree, F.array(F.lit(False))), False) - 1
-    others = [c for c in pairs.columns if c not in ("chosen", "rejected")]
-    cut = pairs.withColumn("_shared", shared.cast("int"))
-    tail = {name: F.slice(name, F.col("_shared") + 1, F.greatest(F.size(name) - F.col("_shared"), F.lit(0))) for name in ("chosen", "rejected")}
+    own = ("chosen", "rejected", "prompt_turns", "prompt", *(f"{x}_{y}" for x in ("chosen", "rejected") for y in ("completion", "mask")))
+    others = [c for c in pairs.columns if c.lower() not in own]
+    chosen, rejected, shared = (fresh(c, pairs.columns) for c in ("good", "bad", "shared"))
+    plain = pairs.select(*(f"`{c}`" for c in others), _sound(pairs["chosen"]).alias(chosen), _sound(pairs["rejected"]).alias(rejected))
+    agree = F.zip_with(chosen, rejected, lambda a, b: F.coalesce(a == b, F.lit(False)))
+    cut = plain.withColumn(shared, (F.array_position(F.concat(agree, F.array(F.lit(False))), False) - 1).cast("int"))
+    tail = {name: F.slice(name, F.col(shared) + 1, F.greatest(F.size(name) - F.col(shared), F.lit(0))) for name in (chosen, rejected)}
     return cut.select(
-        *others,
-        F.col("_shared").cast("long").alias("prompt_turns"),
-        _text(F.slice("chosen", F.lit(1), F.col("_shared"))).alias("prompt"),
-        _text(tail["chosen"]).alias("chosen_completion"),
-        _mask(tail["chosen"]).alias("chosen_mask"),
-        _text(tail["rejected"]).alias("rejected_completion"),
-        _mask(tail["rejected"]).alias("rejected_mask"),
+        *(f"`{c}`" for c in others),
+        F.col(shared).cast("long").alias("prompt_turns"),
+        _text(F.slice(chosen, F.lit(1), F.col(shared))).alias("prompt"),
+        _text(tail[chosen]).alias("chosen_completion"),
+        _mask(tail[chosen]).alias("chosen_mask"),
+        _text(tail[rejected]).alias("rejected_completion"),
+        _mask(tail[rejected]).alias("rejected_mask"),
     )
 
 
