@@ -385,7 +385,7 @@ def test_language_held_out(spark):
 def test_bundles_are_sums_of_bound_vectors():
     text = "abra cad"
     (_, n, trigram, row), = language.trigrams(pa.array([text]))
-    code = {c: language._CODES[ord(c)] for c in text}
+    code = {c: language._codes()[ord(c)] for c in text}
     want = np.zeros(language.DIMENSIONS)
     for a, b, c in zip(text, text[1:], text[2:], strict=False):
         if b != " ":

@@ -6,6 +6,7 @@ import math
 import os
 import random
 import sys
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,9 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from oracle import same_rows  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
-from lodestrata.llm import bpe, catalog, decontaminate, html_extract, license_scan, lm, neardup  # noqa: E402
+from lodestrata.llm import bpe, catalog, decontaminate, html_extract, language, license_scan, lm, neardup, preference, sampling  # noqa: E402
 
 
 def documents(spark, rows):
@@ -213,3 +215,118 @@ def test_encoding_many_at_once_equals_one_at_a_time():
     texts = ["", None, "one two", "one", None, "two " * 300_000, "three"]
     assert encoder.encode_all(texts) == [None if t is None else other.encode(t) for t in texts]
     assert encoder.encode_all([]) == []
+
+
+# --- licences over lines
+
+
+WRAPPED = {
+    "/*\n * Licensed under the Apache License,\n *   Version 2.0 (the License)\n */": "apache-2.0",
+    "# Permission is hereby granted, free\n# of charge, to any\n#\n# person obtaining a copy": "mit",
+    "// Redistribution and use in source\r\n// and binary forms are permitted": "bsd-2-clause",
+    "Redistribution and  use in source and\tbinary forms ...\n3. Neither the name\nof the holder": "bsd-3-clause",
+    " * under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version 2 of the License, or\n * (at your option)": "gpl-2.0-or-later",
+    "-- the GNU Lesser General Public License as published\n-- by the Free Software Foundation; either version 2.1 of the\n-- License, or": "lgpl-2.1-or-later",
+}
+
+
+@pytest.mark.parametrize("text", WRAPPED)
+def test_notices_may_be_wrapped(text):
+    found, licences, _, _ = license_scan.judge(f"x = 1\n{text}\ny = 2")
+    assert (found, licences) == (1, [WRAPPED[text]])
+    ((start, end, _),) = license_scan.findings(text)
+    plain = " ".join(text[start:end].lower().replace("*", " ").replace("#", " ").replace("//", " ").replace("--", " ").split())
+    assert plain in license_scan.NOTICES
+
+
+def test_every_notice_has_a_hint():
+    assert all(any(h in p for h in license_scan._HINTS) for p in license_scan.NOTICES)
+
+
+def test_a_tag_ends_the_expression_before_it():
+    text = "SPDX-License-Identifier: MIT SPDX-License-Identifier: (GPL-2.0 OR MIT)\nmore"
+    assert license_scan.judge(text) == (2, ["gpl-2.0", "mit"], ["mit", "(gpl-2.0 or mit)"], "permissive")
+
+
+@pytest.mark.parametrize("piece", ["SPDX-License-Identifier: MIT ", "SPDX-License-Identifier:\n", "all rights reserved ", " \n", "\n * ", " " * 50, "cc0 (((", "licensed "])
+def test_licence_work_is_linear(piece):
+    began = time.process_time()
+    license_scan.judge("cc0 " + piece * (2_000_000 // len(piece)))
+    assert time.process_time() - began < 30
+
+
+# --- preferences
+
+
+def test_render_takes_nulls_and_clashing_names(spark):
+    turn = "array<struct<role: string, text: string>>"
+    rows = [(1, "p", 5, [("user", None), ("assistant", "x")], [("user", ""), None, (None, "y")]), (2, "p", 5, None, [("assistant", None)])]
+    pairs = spark.createDataFrame(rows, f"`a.b` long, Prompt string, _shared int, chosen {turn}, rejected {turn}").withColumns({"good": F.lit(1), "shared": F.lit(2), "chosen_mask": F.lit(3)})
+    made = preference.render(pairs)
+    assert made.columns == ["a.b", "_shared", "good", "shared", "prompt_turns", "prompt", "chosen_completion", "chosen_mask", "rejected_completion", "rejected_mask"]
+    got = {r[0]: r[4:] for r in made.collect()}
+    assert got[1] == (1, "<|im_start|>user\n<|im_end|>\n", "<|im_start|>assistant\nx<|im_end|>\n", [[22, 34]], "<|im_start|>\ny<|im_end|>\n", [])
+    assert got[2] == (0, "", "", [], "<|im_start|>assistant\n<|im_end|>\n", [[22, 33]])
+
+
+# --- languages
+
+
+SCRIPTS = {
+    "ru": "все люди рождаются свободными и равными в своём достоинстве и правах",
+    "uk": "всі люди народжуються вільними і рівними у своїй гідності та правах",
+    "el": "όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια",
+    "zh": "人人生而自由在尊严和权利上一律平等他们赋有理性和良心",
+    "ja": "すべての人間は生まれながらにして自由でありかつ尊厳と権利とについて平等である",
+    "hi": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है",
+    "fr": "tous les êtres humains naissent libres et égaux en dignité et en droits",
+}
+
+
+def by_hand(text):
+    """The bundle of a text, letter by letter."""
+    out, codes = np.zeros(language.DIMENSIONS), [0 if c == " " else int(language._codes()[ord(c)]) for c in " ".join("".join(c if language._codes()[ord(c)] else " " for c in text.lower()).split(" "))]
+    codes = [c for k, c in enumerate(codes) if k == 0 or c or codes[k - 1]]
+    for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+        if b:
+            out += np.roll(language._LETTERS[a], 2) * np.roll(language._LETTERS[b], 1) * language._LETTERS[c]
+    return out
+
+
+def test_languages_of_any_script_by_direct_cosine(spark):
+    rows = [(k * 10 + i, t[i * 3 :], name) for k, (name, t) in enumerate(SCRIPTS.items()) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert model["names"] == sorted(SCRIPTS)
+    unit = lambda v: v / np.linalg.norm(v)
+    vectors = np.array([unit(sum(unit(by_hand(t)) for _, t, lang in rows if lang == name)) for name in model["names"]])
+    assert np.allclose(model["vectors"], vectors, atol=1e-4)
+    for r in language.identify(docs, model).collect():
+        cosine = vectors @ unit(by_hand(rows[[x[0] for x in rows].index(r.doc_id)][1]))
+        assert r.language == r.declared == model["names"][int(cosine.argmax())] and r.cosine == pytest.approx(cosine.max(), abs=1e-3) and r.keep
+    letters = {c for t in SCRIPTS.values() for c in t.lower() if c != " "}
+    assert len({int(language._codes()[ord(c)]) for c in letters}) > 0.85 * len(letters)
+
+
+@pytest.mark.parametrize("dense", [0, 96])
+def test_bundles_either_way(dense):
+    was, language.DENSE = language.DENSE, dense
+    try:
+        texts = [SCRIPTS["ru"], "", "ab", SCRIPTS["ja"] + "\U0001f600 é 𐍈𐍉"]
+        ((_, n, trigram, row),) = language.trigrams(pa.array(texts))
+        assert np.allclose(language.bundles(trigram, row, n), [by_hand(t) for t in texts])
+    finally:
+        language.DENSE = was
+
+
+# --- sampling
+
+
+@pytest.mark.parametrize("most", [1, 5, 2000])
+def test_strata_are_those_that_hash_lowest(spark, most):
+    rows = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 > 0 THEN 'a' ELSE concat('b', id % 2) END AS kind", "1 AS n", "2 AS rank", "3 AS low")
+    got = sampling.strata(rows, "doc_id", ["kind"], most)
+    assert sorted(got.columns) == sorted(rows.columns)
+    low = rows.withColumn("u", F.shiftrightunsigned(F.xxhash64("doc_id"), 11)).toPandas().sort_values("u")
+    want = {(k, d) for k, g in low.groupby("kind") for d in g.doc_id[:most]}
+    assert {(r.kind, r.doc_id) for r in got.collect()} == want
