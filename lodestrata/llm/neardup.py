@@ -1,11 +1,12 @@
 """Near-duplicate groups: MinHash signatures in an LSH forest.
 
 A document's shingles are its runs of SHINGLE words in lower case (of all its words, if fewer).
-LANES hash functions give the least value each; a byte of each makes the signature. TREES orders
-of all signatures are made by rotating them. All orders together are one table of labels, which is
-partitioned by ranges of whole labels and sorted, so a prefix that many rows share is split by the
-lanes that follow, and a task has about ROWS rows whatever they are. Neighbours in an order are
-candidates if they share a prefix of LEAST_DEPTH lanes: a run of rows with such a common prefix.
+LANES hash functions give the least value each; a byte of each makes the signature, with a second byte of the
+lanes that lead an order. TREES orders of all signatures are made by rotating them. Neighbours in an order are
+candidates if they share a prefix of LEAST_DEPTH lanes, by both their bytes: a run of rows with such a common prefix.
+The prefixes alone are sorted first; only rows that share theirs with another go on, with whole labels (the turned signatures). All orders
+together are one table, which is partitioned by ranges and sorted, so a prefix that many rows share is split by the
+lanes that follow, and a task has about ROWS rows whatever they are.
 Runs of up to CROWD rows are compared all with all where they lie. In longer ones, and in those that
 reach the end of a task's range, neighbours are compared as they stream by, each with the WINDOW rows
 that share most lanes with it; then only rows of different groups are compared with one another, in
@@ -45,7 +46,9 @@ STEP = LANES // TREES
 LEAST_DEPTH = 3
 REGION = 64
 BLOCK = 1024
-#: Rows of labels for each task, at least so many together in Python, and of a run that is compared in one task.
+#: Bytes of a signature: of its lanes, and the second ones of lanes that lead an order.
+SIGNATURE = LANES + TREES * LEAST_DEPTH
+#: Rows of labels for each task (of prefixes ten times as many), at least so many together in Python, and of a run that is compared in one task.
 ROWS, TOGETHER, CROWD = 100_000, 20_000, 4096
 WINDOW = 8
 SIMILARITY = 0.5
@@ -56,6 +59,9 @@ _FLIP = _rng.integers(0, 1 << 32, LANES, dtype=np.uint64).astype(np.uint32)
 _TIMES = _rng.integers(0, 1 << 31, LANES, dtype=np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 
 
+_LEADING = (np.arange(TREES)[:, None] * STEP + np.arange(LEAST_DEPTH)).ravel()
+
+
 def signatures(texts: pa.Array) -> list[bytes | None]:
     """The signature of each text; None if it has no words."""
     out: list[bytes | None] = [None] * len(texts)
@@ -83,7 +89,8 @@ def signatures(texts: pa.Array) -> list[bytes | None]:
             np.multiply(value, _TIMES[lane], out=value)
             least[:, lane] = np.minimum.reduceat(value, begin)
         least *= np.uint32(0x9E3779B1)
-        lanes = ((least ^ (least >> np.uint32(15))) * np.uint32(0x85EBCA77) >> np.uint32(24)).astype(np.uint8)
+        least = (least ^ (least >> np.uint32(15))) * np.uint32(0x85EBCA77)
+        lanes = np.concatenate([(least >> np.uint32(24)).astype(np.uint8), (least[:, _LEADING] >> np.uint32(16)).astype(np.uint8)], axis=1)
         for row, lane in zip(of[begin], lanes, strict=True):
             out[first + row] = lane.tobytes()
     return out
@@ -94,12 +101,12 @@ def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
 
 
-def candidates(depth: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+def candidates(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Pairs of rows to compare, and the runs (first, last) of more than REGION rows, to be compared all with all.
 
-    depth[i] is the common prefix of rows i and i + 1 of a sorted order.
+    key: the prefixes of sorted rows.
     """
-    near = np.flatnonzero(depth >= LEAST_DEPTH)
+    near = np.flatnonzero(key[1:] == key[:-1])
     if not len(near):
         return near, near, []
     breaks = np.flatnonzero(np.diff(near) > 1)
@@ -165,32 +172,32 @@ def _roots(left: list[int], right: list[int]) -> dict[int, int]:
     return {x: root(x) for x in parent}
 
 
-def _compared(label: np.ndarray, node: np.ndarray, crowd: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[int, int]]]:
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _compared(key: np.ndarray, lanes: np.ndarray, node: np.ndarray, crowd: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[int, int]]]:
     """Links of whole runs, each compared all with all, and the runs (first, end) of more than `crowd` rows, which aren't."""
-    differ = label[1:] != label[:-1]
-    depth = np.where(differ.any(axis=1), differ.argmax(axis=1), LANES + 1) - 1
-    i, j, large = candidates(depth)
-    del differ
-    keep = np.concatenate([np.zeros(0, bool), *(similar(label[i[k : k + 50_000], 1:], label[j[k : k + 50_000], 1:]) >= ACCEPT for k in range(0, len(i), 50_000))])
+    i, j, large = candidates(key)
+    keep = np.concatenate([np.zeros(0, bool), *(similar(lanes[i[k : k + 50_000]], lanes[j[k : k + 50_000]]) >= ACCEPT for k in range(0, len(i), 50_000))])
     found = [(node[i[keep]], node[j[keep]])]
     for low, high in large:
         if high - low < crowd:
-            a, b = linked(label[low : high + 1, 1:])
+            a, b = linked(lanes[low : high + 1])
             found.append((node[a + low], node[b + low]))
     return found, [(low, high + 1) for low, high in large if high - low >= crowd]
 
 
-def _streamed(label: np.ndarray, node: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def _streamed(lanes: np.ndarray, node: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links of rows of one run with the WINDOW rows that follow."""
     found = []
     for k in range(1, min(WINDOW, len(node) - 1) + 1):
-        near = similar(label[k:, 1:], label[:-k, 1:]) >= ACCEPT
+        near = similar(lanes[k:], lanes[:-k]) >= ACCEPT
         found.append((node[k:][near], node[:-k][near]))
     return found
 
 
-def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(labels, nodes) of at least TOGETHER rows at a time, but for the last."""
+def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
+    """(prefixes, lanes, nodes) of at least TOGETHER labels at a time, but for the last."""
     held, rows = [], 0
     for batch in batches:
         held.append(batch)
@@ -202,16 +209,43 @@ def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
         yield _arrays(held)
 
 
-def _arrays(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+def _arrays(batches: list[pa.RecordBatch]) -> Rows:
     table = pa.Table.from_batches(batches)
-    return np.frombuffer(b"".join(table.column("label").to_pylist()), np.uint8).reshape(-1, LANES + 1), table.column("node").to_numpy()
+    lead = 1 + 2 * LEAST_DEPTH
+    label = np.frombuffer(b"".join(table.column("label").to_pylist()), np.uint8).reshape(-1, LANES + 1 + LEAST_DEPTH)
+    key = label[:, :lead].astype(np.int64) @ (1 << 8 * np.arange(lead - 1, -1, -1, dtype=np.int64))
+    return key, np.concatenate([label[:, 1:lead:2], label[:, lead:]], axis=1), table.column("node").to_numpy()
 
 
-def _links(batches: Iterator[pa.RecordBatch], crowd: int = CROWD) -> Iterator[pa.RecordBatch]:
-    """Of one range of sorted labels (their first byte is the tree): links (u, v), and rows u of runs whose members are yet to be compared."""
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(prefix, node) for each tree and signature: the tree's number and both bytes of the lanes that lead, as one number."""
+    for batch in batches:
+        signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(-1, SIGNATURE).astype(np.int64)
+        key = np.repeat(np.arange(TREES)[None, :], len(signature), axis=0)
+        for k in range(LEAST_DEPTH):
+            key = key << 16 | signature[:, _LEADING[k::LEAST_DEPTH]] << 8 | signature[:, LANES + k :: LEAST_DEPTH]
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(batch.column("node").to_numpy(), TREES))], names=["prefix", "node"])
 
-    def prefixes(label: np.ndarray) -> np.ndarray:
-        return label[:, : LEAST_DEPTH + 1].astype(np.int64) @ (1 << 8 * np.arange(LEAST_DEPTH, -1, -1, dtype=np.int64))
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one range of sorted prefixes, the rows whose prefix a neighbour has, and the first and the last row."""
+    key, node, before = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+    for batch in batches:
+        key, node = np.concatenate([key, batch.column("prefix").to_numpy()]), np.concatenate([node, batch.column("node").to_numpy()])
+        if len(key) < 2:
+            continue
+        same = key[1:] == key[:-1]
+        stay = np.append(same, False)
+        stay[1:] |= same
+        stay[0] |= before is None or before == key[0]
+        yield pa.RecordBatch.from_arrays([pa.array(key[:-1][stay[:-1]]), pa.array(node[:-1][stay[:-1]])], names=["prefix", "node"])
+        before, key, node = key[-2], key[-1:], node[-1:]
+    if len(key):
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], names=["prefix", "node"])
+
+
+def _links(batches: Iterator[pa.RecordBatch], crowd: int = CROWD) -> Iterator[pa.RecordBatch]:
+    """Of one range of sorted labels: links (u, v), and rows u of runs whose members are yet to be compared."""
 
     def sent(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         roots = _roots(*(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in found)]).tolist() for k in (0, 1)))
@@ -221,42 +255,43 @@ def _links(batches: Iterator[pa.RecordBatch], crowd: int = CROWD) -> Iterator[pa
     def waiting(key: int, node: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.nulls(len(node), pa.int64()), pa.array(np.full(len(node), key), pa.int64())], names=["u", "v", "run"])
 
-    label, node = np.zeros((0, LANES + 1), np.uint8), np.zeros(0, np.int64)
+    held: Rows = np.zeros(0, np.int64), np.zeros((0, LANES), np.uint8), np.zeros(0, np.int64)
     opening = True  # whether the first row held is of the range's first run, which may begin before it
     over = 0  # rows at the front that went out as waiting already; they're held for the window only
-    for more, nodes in _batched(batches):
-        label, node = np.concatenate([label, more]), np.concatenate([node, nodes])
-        key = prefixes(label)
+    for more in _batched(batches):
+        held = key, lanes, node = tuple(np.concatenate(x) for x in zip(held, more, strict=True))
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         # The first run, if it is to wait, and the last run, which may go on.
         first = begin[1] if len(begin) > 1 else 0
         if first and (opening or over):
             yield waiting(key[0], node[over:first])
-            yield sent(_streamed(label[:first], node[:first]))
-            label, node, key, begin = label[first:], node[first:], key[first:], begin[1:] - first
+            yield sent(_streamed(lanes[:first], node[:first]))
+            held = key, lanes, node = key[first:], lanes[first:], node[first:]
+            begin = begin[1:] - first
             opening, over = False, 0
         if last := begin[-1]:
-            found, crowds = _compared(label[:last], node[:last], crowd)
+            found, crowds = _compared(key[:last], lanes[:last], node[:last], crowd)
             for a, b in crowds:
                 yield waiting(key[a], node[a:b])
-                found += _streamed(label[a:b], node[a:b])
+                found += _streamed(lanes[a:b], node[a:b])
             yield sent(found)
-            label, node, key = label[last:], node[last:], key[last:]
+            held = key, lanes, node = key[last:], lanes[last:], node[last:]
         if len(node) > crowd:
             yield waiting(key[0], node[over:])
-            yield sent(_streamed(label, node))
-            label, node = label[-WINDOW:], node[-WINDOW:]
-            over = len(node)
+            yield sent(_streamed(lanes, node))
+            held = key[-WINDOW:], lanes[-WINDOW:], node[-WINDOW:]
+            over = len(held[0])
+    key, lanes, node = held
     if len(node):
-        yield waiting(prefixes(label[:1])[0], node[over:])
-        yield sent(_streamed(label, node))
+        yield waiting(key[0], node[over:])
+        yield sent(_streamed(lanes, node))
 
 
 def _tile(key: tuple, rows: pa.Table) -> pa.Table:
     """Links between two blocks of one run, or within one."""
     rows = rows.sort_by([("block", "ascending"), ("root", "ascending"), ("node", "ascending")])
     block, node = rows.column("block").to_numpy(), rows.column("node").to_numpy()
-    lanes = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(-1, LANES)
+    lanes = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(-1, SIGNATURE)[:, :LANES]
     _, first, at = np.unique(rows.column("root").to_numpy(), return_index=True, return_inverse=True)
     same = key[1].as_py() == key[2].as_py()
     split = None if same else int(np.searchsorted(block, key[2].as_py()))
@@ -291,17 +326,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _forest(nodes: DataFrame, rows: int, crowd: int) -> DataFrame:
     """(u, v): for each node that is linked, but the least of its component, that least node."""
-    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    labels = nodes.select("node", "signature", tree.alias("tree")).select(
+    count = nodes.count() * TREES
+    prefixes = nodes.select("node", "signature").mapInArrow(_prefixes, "prefix long, node long")
+    ranges = prefixes.repartitionByRange(max(1, math.ceil(count / (10 * rows))), "prefix", "node").sortWithinPartitions("prefix", "node")
+    met = cut(ranges.mapInArrow(_meeting, "prefix long, node long"))
+    tree = F.shiftright("prefix", 16 * LEAST_DEPTH).cast("int")
+    labels = met.join(nodes.select("node", "signature"), "node").select(
         F.concat(
-            F.unhex(F.lpad(F.hex("tree"), 2, "0")),
-            F.substring("signature", F.col("tree") * STEP + 1, F.lit(LANES)),
-            F.substring("signature", F.lit(1), F.col("tree") * STEP),
+            F.unhex(F.lpad(F.hex("prefix"), 2 + 4 * LEAST_DEPTH, "0")),
+            F.substring("signature", tree * STEP + LEAST_DEPTH + 1, LANES - LEAST_DEPTH - tree * STEP),
+            F.substring("signature", F.lit(1), tree * STEP),
         ).alias("label"),
         "node",
     )
-    parts = max(1, math.ceil(nodes.count() * TREES / rows))
-    ordered = labels.repartitionByRange(parts, "label").sortWithinPartitions("label")
+    ordered = labels.repartitionByRange(max(1, math.ceil(met.count() / rows)), "label").sortWithinPartitions("label")
     found = cut(ordered.mapInArrow(lambda batches: _links(batches, crowd), "u long, v long, run long"))
     roots = components(found.where("run is null").select("u", "v"))
     waiting = found.where("run is not null").select(F.col("u").alias("node"), "run")

@@ -53,15 +53,28 @@ def test_other_orders_count_all(spark, order):
 # --- near duplicates
 
 
-def labels(lanes):
+def labels(signatures, trees=neardup.TREES):
     """All labels in order, in pieces, as one range of them arrives."""
-    turned = [np.concatenate([np.full((len(lanes), 1), t, np.uint8), np.roll(lanes, -t * neardup.STEP, axis=1)], axis=1) for t in range(neardup.TREES)]
-    rows = sorted((x.tobytes(), k % len(lanes)) for k, x in enumerate(np.concatenate(turned)))
+    lanes, low = signatures[:, : neardup.LANES], signatures[:, neardup.LANES :]
+    rows = []
+    for t in range(trees):
+        turned, second = np.roll(lanes, -t * neardup.STEP, axis=1), low[:, 3 * t : 3 * t + 3]
+        rows += [(bytes([t, a[0], b[0], a[1], b[1], a[2], b[2]]) + a[3:].tobytes(), k) for k, (a, b) in enumerate(zip(turned, second, strict=True))]
+    rows.sort()
     for k in range(0, len(rows), 700):
         label, node = zip(*rows[k : k + 700], strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(label, pa.binary()), pa.array(node, pa.int64())], names=["label", "node"])
 
 
+def signed(lanes):
+    """Signatures of these lanes; the second bytes are the first ones again."""
+    return np.concatenate([lanes, lanes[:, neardup._LEADING]], axis=1)
+
+
+def as_nodes(spark, lanes):
+    return spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(signed(lanes))], "node long, signature binary")
+
+
 def crowd_of(n, copies):
     """Signatures that all share half their lanes, and pairs (row, row) of them that share most."""
     rng = np.random.default_rng(n)
@@ -80,9 +93,9 @@ def test_a_task_holds_a_bounded_part_of_a_crowd():
     lanes[:, :60] = 7
     held, out = [], []
     compared = neardup._streamed
-    neardup._streamed = lambda label, node: held.append(len(node)) or compared(label, node)
+    neardup._streamed = lambda lanes, node: held.append(len(node)) or compared(lanes, node)
     try:
-        out = list(neardup._links(labels(lanes), 500))
+        out = list(neardup._links(labels(signed(lanes), 10), 500))
     finally:
         neardup._streamed = compared
     assert max(held) <= neardup.TOGETHER + 700 + 500
@@ -98,8 +111,7 @@ def test_a_task_holds_a_bounded_part_of_a_crowd():
 @pytest.mark.parametrize(("rows", "crowd"), [(neardup.ROWS, neardup.CROWD), (900, neardup.CROWD), (900, 50), (100, 10)])
 def test_ranges_and_tiles_find_what_all_pairs_find(spark, rows, crowd):
     lanes, pairs = crowd_of(400, 40)
-    nodes = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(lanes)], "node long, signature binary")
-    assert {tuple(r) for r in neardup._forest(nodes, rows, crowd).collect()} == {(max(a, b), min(a, b)) for a, b in pairs.tolist()}
+    assert {tuple(r) for r in neardup._forest(as_nodes(spark, lanes), rows, crowd).collect()} == {(max(a, b), min(a, b)) for a, b in pairs.tolist()}
 
 
 def test_repeated_ids_with_other_texts_are_other_documents(spark):
@@ -125,8 +137,7 @@ def test_pairs_apart_in_a_large_run_are_compared(spark):
     lanes[150, same] = lanes[10, same]
     lanes[:, 3] = np.arange(200)
     for crowd in (neardup.CROWD, 20):  # compared where they lie, and in tiles
-        nodes = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(lanes)], "node long, signature binary")
-        assert [tuple(r) for r in neardup._forest(nodes, neardup.ROWS, crowd).collect()] == [(150, 10)]
+        assert [tuple(r) for r in neardup._forest(as_nodes(spark, lanes), neardup.ROWS, crowd).collect()] == [(150, 10)]
 
 
 @pytest.mark.parametrize("n", [3, 300, 2500])
