@@ -13,7 +13,9 @@ the rest.
 Defined results: a null page gives a null text, an empty one an empty text. Broken markup is repaired as
 browsers roughly do; what isn't markup is text. Without any marked page there is no model: then all text
 outside script, style and the like is kept. A page none of whose nodes is likely to be main content gives an
-empty text. Repeated rows give repeated rows; other columns are ignored.
+empty text. Where a whole subtree and the best choice of its parts have equal sums, the whole subtree is taken; a sum of 0
+isn't. Pages are read to their end, however long, nested or broken; the work grows with a page's length alone. An empty
+table gives no rows. Repeated rows give repeated rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import html
 import math
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +39,9 @@ TREES, DEPTH, RATE, BINS = 40, 4, 0.2, 32
 BUCKETS = 8
 SCHEMA = "page_id long, url string, text string, nodes long, chosen long"
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>""", re.S)
+_START = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/><]*+)|[!?])")
+_REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+_LONG_REFERENCE = re.compile(r"&#(?:[0-9]{8,}+|[xX][0-9a-fA-F]{7,}+);?")
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template svg iframe textarea".split())
@@ -54,48 +59,108 @@ class Page:
 
     def __init__(self, source: str) -> None:
         self.tags, self.parents, self.tokens, self.main = ["#root"], [-1], [()], [False]
+        #: The nearest block of each element: itself, or one above it.
+        self.blocks = [0]
         self.texts: list[tuple[int, str]] = []
-        open_ = [0]
-        at = 0
-        while (found := _TAG.search(source, at)) is not None:
-            if found.start() > at:
-                self._text(open_[-1], source[at : found.start()])
-            at = found.end()
-            if (name := found.group(2)) is None:
+        self._source, self._last, self._ends, self._gap, self._broken = source, {}, {}, (0, -1), False
+        open_, depths = [0], defaultdict(list)  # open elements, and for each tag's name where in that list it is
+        at = look = 0
+
+        def close(k: int) -> None:
+            for node in open_[k:]:
+                depths[self.tags[node]].pop()
+            del open_[k:]
+
+        while (found := _START.search(source, look)) is not None:
+            start, name = found.start(), found.group(3)
+            if name is not None:
+                end = self._end(found.end())
+            elif found.group(1):
+                end = source.find("-->", start + 4) + 3
+                end = end if end > 2 else len(source)
+            else:
+                end = self._next(">", found.end()) + 1 or -1
+            if end < 0:  # never closed, so it's text
+                look = start + 1
+                continue
+            if start > at:
+                self._text(open_[-1], source[at:start])
+            at = look = end
+            if name is None:
                 continue
             name = name.lower()
-            if found.group(1):
-                for k in range(len(open_) - 1, 0, -1):
-                    if self.tags[open_[k]] == name:
-                        del open_[k:]
-                        break
+            if found.group(2):
+                if depths[name]:
+                    close(depths[name][-1])
                 continue
+            attributes = source[found.end() : end - 1]
             if name in _RAW:
-                if not found.group(3).rstrip().endswith("/"):
-                    end = re.compile(rf"</{re.escape(name)}[^>]*>", re.I).search(source, at)
-                    at = end.end() if end else len(source)
+                if not attributes.rstrip().endswith("/"):
+                    raw = re.compile(rf"</{re.escape(name)}", re.I).search(source, at)
+                    past = source.find(">", raw.end()) if raw else -1
+                    at = look = past + 1 if past >= 0 else len(source)
                 continue
             if closes := _CLOSES.get(name):
-                for k in range(len(open_) - 1, 0, -1):
-                    inside = self.tags[open_[k]]
-                    if inside in closes:
-                        del open_[k:]
-                        break
-                    if inside in _STOPS:
-                        break
-            attributes = found.group(3)
+                nearest = max((depths[x][-1] for x in closes if depths[x]), default=0)
+                if nearest and nearest > max((depths[x][-1] for x in _STOPS if depths[x] and x not in closes), default=0):
+                    close(nearest)
             tokens = [t.lower() for m in _ATTRIBUTE.finditer(attributes) for t in (m.group(2) or m.group(3) or m.group(4) or "").split()] if "=" in attributes else []
             self.tags.append(name)
             self.parents.append(open_[-1])
+            self.blocks.append(len(self.tags) - 1 if name in _BLOCK else self.blocks[open_[-1]])
             self.main.append(self.main[open_[-1]] or name in _MAIN or "main" in tokens and "role" in attributes.lower())
             self.tokens.append(tuple(t for t in tokens if t not in _MAIN))
             if name not in _VOID and not attributes.endswith("/"):
+                depths[name].append(len(open_))
                 open_.append(len(self.tags) - 1)
         if at < len(source):
             self._text(open_[-1], source[at:])
+        del self._source, self._last, self._ends, self._gap
+
+    def _next(self, mark: str, at: int) -> int:
+        """Where the mark is next; -1 if nowhere."""
+        if (last := self._last.get(mark)) is None:
+            last = self._last[mark] = self._source.rfind(mark)
+        return self._source.find(mark, at) if at <= last else -1
+
+    def _edge(self, at: int) -> int:
+        """Where the next quote or > is; -1 if nowhere. Looked up once for all places before it."""
+        low, edge = self._gap
+        if not low <= at <= edge:
+            edge = min((x for x in (self._next(mark, at) for mark in "\"'>") if x >= 0), default=-1)
+            self._gap = (at, edge if edge >= 0 else len(self._source))
+        return edge if edge < len(self._source) else -1
+
+    def _end(self, at: int) -> int:
+        """Where a tag ends that is open at `at`, outside of quotes; -1 if nowhere. What was looked up on the way is kept."""
+        if not self._broken:
+            if (whole := _REST.match(self._source, at)) is not None:
+                return whole.end()
+            self._broken = True  # some tag isn't closed: from now on, nothing is read twice
+        passed, ends = [], self._ends
+        while True:
+            edge = self._edge(at) if not passed else min((x for x in (self._next(mark, at) for mark in "\"'>") if x >= 0), default=-1)
+            if edge < 0:
+                end = -1
+                break
+            if (mark := self._source[edge]) == ">":
+                end = edge + 1
+                break
+            if edge in ends:
+                end = ends[edge]
+                break
+            passed.append(edge)
+            if (other := self._next(mark, edge + 1)) < 0:
+                end = -1
+                break
+            at = other + 1
+        ends.update(dict.fromkeys(passed, end))
+        return end
 
     def _text(self, node: int, text: str) -> None:
-        text = " ".join((html.unescape(text) if "&" in text else text).split())
+        if "&" in text:
+            text = html.unescape(_LONG_REFERENCE.sub("\ufffd", text))
+        text = " ".join(text.split())
         if text:
             self.texts.append((node, text))
 
@@ -177,8 +242,7 @@ class Page:
         for node, text in self.texts:
             if not chosen[node]:
                 continue
-            while node > 0 and self.tags[node] not in _BLOCK:
-                node = self.parents[node]
+            node = self.blocks[node]
             if node != block:
                 lines.append([])
                 block = node
