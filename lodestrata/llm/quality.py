@@ -4,13 +4,15 @@ Features are indicators of hashed word and punctuation unigrams and bigrams of a
 token that repeats the one before it gives one shared feature. Each indicator is scaled by its
 log-count ratio between the classes, and a hinge-loss linear model is fitted on the scaled
 indicators by dual coordinate descent. Two heads are fitted: quality, and toxicity. A document
-is kept if the first finds it good and the second doesn't find it toxic.
+is kept if the first finds it good and the second doesn't find it toxic. Where a head divides is
+learned from sampled documents held out from a fit of its own: it rejects CLEAN_LOST of the clean ones.
 
 Defined results: a null text, or one without tokens, isn't kept and has null scores. A null
 doc_id passes through. Repeated rows give repeated, equal rows. Labels that contradict one
 another count as poor and toxic. With labels of one class only, or none, a head decides nothing
-(score null) and rejects nothing. Other columns of either table are ignored by `classify` and
-passed through by `keep_good`.
+(score null) and rejects nothing. A label over 0 is good, or toxic; rows of which either label is null aren't fitted on.
+A score equal to a threshold isn't over it. Texts count to their end, however long. An empty table gives no rows. Other
+columns of either table are ignored by `classify` and passed through by `keep_good`.
 """
 
 from __future__ import annotations
@@ -27,11 +29,11 @@ from lodestrata.llm.session import tuned
 
 BITS = 21
 MOST_PER_CLASS = 4000
-LEAST_DOCUMENTS = 3
 EPOCHS = 12
-COST = 1.0
-#: Scores over which a document is good, and toxic: half-way to the margins, on the side of clean documents and of caught toxic ones.
-GOOD_OVER, TOXIC_OVER = -0.2, -0.5
+#: Added to every count of a feature in a class, so that features of few documents weigh little; and the most that one document can add to a weight.
+SMOOTHING, COST = 3.0, 0.01
+#: One of so many sampled documents is held out for thresholds, which reject this share of the clean ones (quality 1, not toxic).
+HELD_OUT, CLEAN_LOST = 5, 0.01
 _REPEAT = np.uint64(0x5EED)
 SCHEMA = "doc_id long, quality_score double, toxicity_score double, keep boolean"
 
@@ -97,7 +99,7 @@ def head(rows: list[np.ndarray], positive: np.ndarray, size: int) -> tuple[np.nd
     """Weight of each feature, log-count ratio included, and the bias; None if a class has no rows."""
     if positive.all() or not positive.any():
         return None
-    p, q = np.ones(size), np.ones(size)
+    p, q = np.full(size, SMOOTHING), np.full(size, SMOOTHING)
     for row, good in zip(rows, positive, strict=True):  # each feature once a row
         (p if good else q)[row] += 1
     ratio = np.log((p / p.sum()) / (q / q.sum()))
@@ -110,7 +112,7 @@ def head(rows: list[np.ndarray], positive: np.ndarray, size: int) -> tuple[np.nd
 def fit(documents: DataFrame, labels: DataFrame, most: int = MOST_PER_CLASS) -> dict:
     """Both heads, fitted on at most `most` labelled documents of each combination of the two labels."""
     tuned(documents.sparkSession)
-    ours = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    ours = labels.groupBy("doc_id").agg((F.min("quality") > 0).cast("int").alias("quality"), (F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = sampling.strata(ours, "doc_id", ["quality", "toxic"], most)
     texts = documents.select("doc_id", "text").where(F.col("text").isNotNull())
     # The sample is bounded by `most` for each combination, so it is small at every size of the input.
@@ -118,25 +120,30 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MOST_PER_CLASS) ->
     found = labelled.select("text", "quality", "toxic").mapInArrow(_feature_rows, "quality int, toxic int, features binary").toArrow()
     good = np.array(found.column("quality").to_pylist(), dtype=float) > 0
     toxic = np.array(found.column("toxic").to_pylist(), dtype=float) > 0
-    # Features of few documents are dropped at once, and the rest numbered, so the driver holds little.
-    seen = np.zeros(1 << BITS, np.int32)
+    # Features that occur are numbered, so that nothing is as long as the table of all.
+    number = np.zeros(1 << BITS, np.int32)
     for x in found.column("features"):
-        seen[np.frombuffer(x.as_buffer(), np.int32)] += 1
-    kept = np.flatnonzero(seen >= LEAST_DOCUMENTS)
-    number = np.full(1 << BITS, -1, np.int32)
+        number[np.frombuffer(x.as_buffer(), np.int32)] = 1
+    kept = np.flatnonzero(number)
     number[kept] = np.arange(len(kept))
-    rows = []
-    for x in found.column("features"):
-        row = number[np.frombuffer(x.as_buffer(), np.int32)]
-        rows.append(row[row >= 0])
-    del found, seen, number
+    rows = [number[np.frombuffer(x.as_buffer(), np.int32)] for x in found.column("features")]
+    del found, number
     order = np.lexsort([[len(r) for r in rows], [int(r.astype(np.int64).sum()) for r in rows]]) if rows else np.zeros(0, np.int64)
     rows, good, toxic = [rows[i] for i in order], good[order], toxic[order]
-    weights, bias, known = np.zeros((1 << BITS, 2), np.float32), np.zeros(2), [False, False]
+    weights, bias, known, over = np.zeros((1 << BITS, 2), np.float32), np.zeros(2), [False, False], [0.0, 0.0]
     for k, positive in enumerate((good, toxic)):
         if rows and (made := head(rows, positive, len(kept))) is not None:
             weights[kept, k], bias[k], known[k] = made[0], made[1], True
-    return {"weights": weights, "bias": bias, "known": known, "mask": weights.any(axis=1)}
+            over[k] = threshold(rows, positive, good & ~toxic, len(kept), CLEAN_LOST if k == 0 else 1 - CLEAN_LOST)
+    return {"weights": weights, "bias": bias, "known": known, "mask": weights.any(axis=1), "over": over}
+
+
+def threshold(rows: list[np.ndarray], positive: np.ndarray, clean: np.ndarray, size: int, share: float) -> float:
+    """The score below which that share of clean documents lie that a head wasn't fitted on; 0 if none can be held out."""
+    out = np.arange(len(rows)) % HELD_OUT == 0
+    if not (out & clean).any() or (made := head([rows[i] for i in np.flatnonzero(~out)], positive[~out], size)) is None:
+        return 0.0
+    return float(np.quantile([made[0][rows[i]].sum() + made[1] for i in np.flatnonzero(out & clean)], share))
 
 
 def scores(texts: pa.Array, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,8 +153,8 @@ def scores(texts: pa.Array, model: dict) -> tuple[np.ndarray, np.ndarray, np.nda
         for k in (0, 1):
             out[first : first + n, k] = np.bincount(row, model["weights"][feature, k], minlength=n) + model["bias"][k]
         count[first : first + n] = tokens
-    good = (out[:, 0] > GOOD_OVER) | (not model["known"][0])
-    toxic = (out[:, 1] > TOXIC_OVER) & model["known"][1]
+    good = (out[:, 0] > model["over"][0]) | (not model["known"][0])
+    toxic = (out[:, 1] > model["over"][1]) & model["known"][1]
     return out, count, (count > 0) & good & ~toxic
 
 
