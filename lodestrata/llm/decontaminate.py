@@ -8,17 +8,19 @@ span of at least SPAN = K + WINDOW - 1 bytes contains a whole window, so it is a
 that are shorter aren't reported.
 
 If the benchmark's text is under BROADCAST_BYTES, its index goes to every worker and one pass over
-the documents does it all; beyond that, fingerprints are joined by a shuffle.
+the documents does it all; beyond that, fingerprints are joined by a shuffle, hits are gathered for each pair of texts,
+and each such pair is fetched once, by hashes of the texts. Both ways extend hits on the texts themselves, with the same result.
 
 Defined results: null texts, and texts with under SPAN such bytes, on either side, give no spans.
-Items or documents that repeat give a row for each. An empty benchmark gives no rows. Rows with a
-null doc_id or item_id are searched as any other; the shuffled way fetches texts by keys of its own,
-one for each row, so that ids needn't be there or be distinct. Offsets count bytes of the reduced texts.
+Items or documents that repeat give a row for each. An empty table of either side gives no rows, and with an empty
+benchmark all documents stay. Rows with a null doc_id or item_id are searched as any other. Texts are searched to
+their end, however long; of texts that repeat themselves, each shift at which they agree gives its own spans. Of
+equal hashes in a window all are kept. Offsets count bytes of the reduced texts. Other columns, whatever
+their names, are ignored by `find` and passed through by `keep_clean`.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import textkit
-from lodestrata.llm.session import shared_folder, tuned
+from lodestrata.llm.session import fresh, tuned
 
 K, WINDOW = 24, 25
 SPAN = K + WINDOW - 1
 BROADCAST_BYTES = 64 << 20
 _NEVER = np.uint32(0xFFFFFFFF)
 _TABLE_BITS = 22
+#: Hits that are looked at together, about.
+HITS = 1 << 20
 SCHEMA = "doc_id long, item_id long, doc_start long, doc_end long, item_start long"
 
 
@@ -92,16 +96,21 @@ class Index:
         self.table = np.zeros(1 << _TABLE_BITS, bool)
         self.table[self.prints >> np.uint32(32 - _TABLE_BITS)] = True
 
-    def diagonals(self, position: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """Distinct (position of the item's start, item) of all hits."""
+    def hits(self, position: np.ndarray, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(position, item, position in the item) of the hits, about HITS of them at a time."""
         maybe = self.table[h >> np.uint32(32 - _TABLE_BITS)]
         position, h = position[maybe], h[maybe]
-        low, high = np.searchsorted(self.prints, h, "left"), np.searchsorted(self.prints, h, "right")
-        count = high - low
-        if not count.sum():
-            return np.zeros((0, 2), np.int64)
-        entry = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        return np.unique(np.stack([np.repeat(position, count) - self.at[entry], self.of[entry]], axis=1), axis=0)
+        low = np.searchsorted(self.prints, h, "left")
+        count = np.searchsorted(self.prints, h, "right") - low
+        position, low, count = position[count > 0], low[count > 0], count[count > 0]
+        total = np.cumsum(count)
+        at = 0
+        while at < len(count):
+            end = max(at + 1, int(np.searchsorted(total, total[at] - count[at] + HITS, "right")))
+            some = count[at:end]
+            entry = np.repeat(low[at:end] - (np.cumsum(some) - some), some) + np.arange(some.sum())
+            yield np.repeat(position[at:end], some), self.of[entry], self.at[entry]
+            at = end
 
 
 def spans(text: np.ndarray, item: np.ndarray, shift: int) -> list[tuple[int, int, int]]:
@@ -119,21 +128,14 @@ def search(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int,
     for first, data, offsets in textkit.chunks(texts):
         data, offsets = reduced(data, offsets)
         position, h = winnow(data, offsets)
-        found = index.diagonals(position, h)
-        if not len(found):
-            continue
-        # The diagonal's start may lie before its text's; a hit itself tells which text it is in.
-        seen = set()
-        for p, h1 in zip(position, h, strict=True):
-            if not index.table[h1 >> np.uint32(32 - _TABLE_BITS)]:
-                continue
-            row = int(np.searchsorted(offsets, p, "right")) - 1
-            for shift, item in index.diagonals(np.array([p]), np.array([h1], np.uint32)):
-                key = (row, int(item), int(shift - offsets[row]))
+        seen: set[tuple[int, int, int]] = set()
+        for p, item, q in index.hits(position, h):
+            row = np.searchsorted(offsets, p, "right") - 1
+            for key in map(tuple, np.unique(np.stack([row, item, p - offsets[row] - q], axis=1), axis=0).tolist()):
                 if key not in seen:
                     seen.add(key)
-                    for start, end, inside in spans(data[offsets[row] : offsets[row + 1]], index.items[key[1]], key[2]):
-                        yield first + row, key[1], start, end, inside
+                    for start, end, inside in spans(data[offsets[key[0]] : offsets[key[0] + 1]], index.items[key[1]], key[2]):
+                        yield first + key[0], key[1], start, end, inside
 
 
 def small_index(benchmark: DataFrame, most: int = BROADCAST_BYTES) -> Index | None:
@@ -146,15 +148,13 @@ def small_index(benchmark: DataFrame, most: int = BROADCAST_BYTES) -> Index | No
     return Index(rows.column("item_id").to_pylist(), rows.column("text").combine_chunks())
 
 
-def _keyed(rows: DataFrame) -> DataFrame:
-    """The rows with a `key` each, written out so that every reading sees the same keys."""
-    path = f"{shared_folder(rows.sparkSession)}/keyed-{uuid.uuid4().hex}"
-    rows.withColumn("key", F.monotonically_increasing_id()).write.parquet(path)
-    return rows.sparkSession.read.parquet(path)
+def _hashed(rows: DataFrame, key: str, high: str) -> DataFrame:
+    """The rows with two hashes of their text; where its spans matter, texts themselves decide."""
+    return rows.withColumns({key: F.xxhash64("text"), high: F.xxhash64(F.lit(1), "text")})
 
 
 def _shuffled(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The spans of keyed rows (key, id, text), with the document's key, by a join of both sides' fingerprints."""
+    """(key, high, text, shifts, item_id, item) for texts (id, text) of both sides that share fingerprints, by a join of those."""
 
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,49 +162,52 @@ def _shuffled(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                 data, offsets = reduced(data, offsets)
                 at, h = winnow(data, offsets)
                 row = np.searchsorted(offsets, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row + first)), pa.array(h.astype(np.int64)), pa.array(at - offsets[row])], names=["key", "h", "at"])
+                of = pa.array(row + first)
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(of), batch.column("high").take(of), pa.array(h.astype(np.int64)), pa.array(at - offsets[row])], names=["key", "high", "h", "at"])
+
+    sides = [_hashed(side.where("text is not null"), "key", "high") for side in (documents, benchmark)]
+    texts, items = (side.select("key", "high", "text").mapInArrow(fingerprints, "key long, high long, h long, at long") for side in sides)
+    hits = texts.withColumnRenamed("at", "p").join(items.withColumnsRenamed({"key": "item_key", "high": "item_high", "at": "q"}), "h")
+    pairs = hits.groupBy("key", "high", "item_key", "item_high").agg(F.collect_set(F.col("p") - F.col("q")).alias("shifts"))
+    named = sides[1].withColumnsRenamed({"id": "item_id", "text": "item", "key": "item_key", "high": "item_high"})
+    return pairs.join(named, ["item_key", "item_high"]).join(sides[0], ["key", "high"])
+
+
+def _texts(column: pa.Array) -> list[np.ndarray]:
+    made = []
+    for _, data, offsets in textkit.chunks(column):
+        data, offsets = reduced(data, offsets)
+        made += [data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return made
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            side = []
-            for name in ("text", "item"):
-                made = []
-                for _, data, offsets in textkit.chunks(batch.column(name)):
-                    data, offsets = reduced(data, offsets)
-                    made += [data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                side.append(made)
-            for doc, item, key, shift, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "doc_key", "shift")), *side, strict=True):
-                rows += [(doc, item, *x, key) for x in spans(a, b, shift)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "doc_start", "doc_end", "item_start", "doc_key"])
-
-    docs, items = documents.where("text is not null"), benchmark.where("text is not null")
-    made = [side.select("key", "text").mapInArrow(fingerprints, "key long, h long, at long") for side in (docs, items)]
-    hits = made[0].withColumnsRenamed({"key": "doc_key", "at": "p"}).join(made[1].withColumnsRenamed({"key": "item_key", "at": "q"}), "h")
-    hits = hits.select("doc_key", "item_key", (F.col("p") - F.col("q")).alias("shift")).distinct()
-    both = hits.join(docs.withColumnsRenamed({"key": "doc_key", "id": "doc_id"}), "doc_key").join(items.withColumnsRenamed({"key": "item_key", "id": "item_id", "text": "item"}), "item_key")
-    return both.select("doc_id", "item_id", "doc_key", "shift", "text", "item").mapInArrow(compare, f"{SCHEMA}, doc_key long")
-
-
-def _items(benchmark: DataFrame) -> DataFrame:
-    return _keyed(benchmark.select(F.col("item_id").cast("long").alias("id"), "text"))
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "doc_start", "doc_end", "item_start"])
 
 
 def find(documents: DataFrame, benchmark: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, item_id, doc_start, doc_end, item_start) of every shared span of SPAN bytes or more."""
     context = tuned(documents.sparkSession).sparkContext
     if (index := small_index(benchmark, most)) is None:
-        docs = _keyed(documents.select(F.col("doc_id").cast("long").alias("id"), "text"))
-        return _shuffled(docs, _items(benchmark)).drop("doc_key")
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                for doc, item, shifts, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "shifts")), _texts(batch.column("text")), _texts(batch.column("item")), strict=True):
+                    rows += [(doc, item, *x) for shift in shifts for x in spans(a, b, shift)]
+                yield _rows(rows)
+
+        docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        both = _shuffled(docs, benchmark.select(F.col("item_id").cast("long").alias("id"), "text"))
+        return both.select("doc_id", "item_id", "shifts", "text", "item").mapInArrow(compare, SCHEMA)
     shared = context.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             rows = [(ids[row], shared.value.ids[item], start, end, inside) for row, item, start, end, inside in search(batch.column("text"), shared.value)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "doc_start", "doc_end", "item_start"])
+            yield _rows(rows)
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
 
@@ -213,10 +216,17 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, most: int = BROADCAST
     """The documents that share no such span with the benchmark, with all their columns."""
     context = tuned(documents.sparkSession).sparkContext
     if (index := small_index(benchmark, most)) is None:
-        whole = _keyed(documents.select(F.struct(*documents.columns).alias("row")))
-        docs = whole.select("key", F.col("row.doc_id").cast("long").alias("id"), "row.text")
-        gone = _shuffled(docs, _items(benchmark)).select(F.col("doc_key").alias("key")).distinct()
-        return whole.join(gone, "key", "left_anti").select("row.*")
+
+        def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sides = zip(batch.column("shifts").to_pylist(), _texts(batch.column("text")), _texts(batch.column("item")), strict=True)
+                yield batch.select(["key", "high"]).filter(pa.array([any(spans(a, b, shift) for shift in shifts) for shifts, a, b in sides], pa.bool_()))
+
+        both = _shuffled(documents.select("text"), benchmark.select(F.col("item_id").cast("long").alias("id"), "text"))
+        gone = both.select("key", "high", "shifts", "text", "item").mapInArrow(shares, "key long, high long").distinct()
+        key, high = fresh("key", documents.columns), fresh("high", documents.columns)
+        gone = gone.withColumnsRenamed({"key": key, "high": high})
+        return documents.join(gone, (F.xxhash64(documents["text"]) == F.col(key)) & (F.xxhash64(F.lit(1), documents["text"]) == F.col(high)), "left_anti")
     shared = context.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

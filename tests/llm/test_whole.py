@@ -341,3 +341,22 @@ def test_strata_are_those_that_hash_lowest(spark, most):
     low = rows.withColumn("u", F.shiftrightunsigned(F.xxhash64("doc_id"), 11)).toPandas().sort_values("u")
     want = {(k, d) for k, g in low.groupby("kind") for d in g.doc_id[:most]}
     assert {(r.kind, r.doc_id) for r in got.collect()} == want
+
+
+def test_repetitive_texts_are_searched_in_bounded_pieces(spark):
+    index = decontaminate.Index([1], pa.array(["a" * 60 + "b" * 60]))
+    was, decontaminate.HITS = decontaminate.HITS, 50
+    try:
+        sizes = [len(p) for p, _, _ in index.hits(*decontaminate.winnow(np.frombuffer(b"a" * 300, np.uint8), np.array([0, 300])))]
+    finally:
+        decontaminate.HITS = was
+    assert max(sizes) < 100 and sum(sizes) > 2000
+    rows = [(1, "a" * 300), (2, "b" * 70), (3, "ab" * 90), (4, "a" * 60 + "b" * 60), (4, "a" * 60 + "b" * 60)]
+    docs = spark.createDataFrame([(*r, 0, 0, 0) for r in rows], "doc_id long, text string, key int, high int, item_id int")
+    bench = spark.createDataFrame([(9, "a" * 60 + "b" * 60, 1)], "item_id long, text string, key int")
+    found = [sorted(tuple(r) for r in decontaminate.find(docs, bench, most).collect()) for most in (1 << 20, 0)]
+    assert found[0] == found[1] and {r[0] for r in found[0]} == {1, 2, 4}
+    assert found[0].count((4, 9, 0, 120, 0)) == 2
+    for most in (1 << 20, 0):
+        kept = decontaminate.keep_clean(docs, bench, most)
+        assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [3]
