@@ -24,14 +24,24 @@ def tuned(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and written tables that the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset (local runs and tests) a temporary folder serves.
+    Only on one machine (local runs and tests) a temporary folder serves where that is unset.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context.hadoopConfiguration()).delete(where, True)
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """The name, lengthened until no column has it, in any case."""
     taken = {c.lower() for c in columns}

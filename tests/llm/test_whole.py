@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from oracle import same_rows  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from lodestrata.llm import bpe, catalog, decontaminate, html_extract, language, license_scan, lm, neardup, preference, sampling  # noqa: E402
+from lodestrata.llm import bpe, catalog, decontaminate, html_extract, language, license_scan, lm, neardup, preference, sampling, session  # noqa: E402
 
 
 def documents(spark, rows):
@@ -360,3 +360,29 @@ def test_repetitive_texts_are_searched_in_bounded_pieces(spark):
     for most in (1 << 20, 0):
         kept = decontaminate.keep_clean(docs, bench, most)
         assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [3]
+
+
+# --- the folder for what is written
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session)
+
+
+def test_the_pipeline_leaves_only_its_last_rows(spark):
+    import corpus_pipeline
+
+    made = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    folder = os.path.dirname(os.path.dirname(made.inputFiles()[0].removeprefix("file://")))
+    assert os.listdir(folder) == ["bpe"] and made.count() > 0
