@@ -3,7 +3,14 @@
 Each stage takes (spark, docs, sf_dir), with sf_dir the folder of the other tables, and works on
 every row its predecessor kept. All but the last return the columns of documents. A stage's rows
 are written as Parquet and read again before the next one runs, so a lost executor costs no more
-than the stage at hand. SQL can't express the fitted and hashed decisions, so there is none.
+than the stage at hand; what the next one has read is deleted then, so only the last stage's rows stay in the
+shared folder. SQL can't express the fitted and hashed decisions, so there is none.
+
+Defined results: an empty table, or one of which a stage keeps nothing, gives no rows. Documents of a null or empty
+text go in the first stage. A null doc_id passes all stages (near duplicates aren't sought among such rows); rows of
+equal doc_id and text stay or go together; other columns, whatever their names, pass through all stages but the last.
+Texts count to their end, however long. Without labels, declared languages or benchmark the stage that needs them
+rejects nothing for want of them. Ties are each operator's.
 """
 
 from __future__ import annotations
@@ -13,7 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm import bpe, decontaminate, language, neardup, quality
-from lodestrata.llm.session import shared_folder, table
+from lodestrata.llm.session import delete, shared_folder, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +62,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            delete(spark, before)
+        before = f"{folder}/{name}"
     return docs
