@@ -26,7 +26,7 @@ def session() -> SparkSession:
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="lodestrata", description="Analyse and package source trees with Spark.")
     top.add_argument("--version", action="version", version=lodestrata.__version__)
-    top.add_argument("--verbose", "-v", action="store_true")
+    top.add_argument("--verbose", "-v", action="store_true", help="show what Spark logs, too")
     commands = top.add_subparsers(dest="command", required=True)
     init = commands.add_parser("init", help="write a configuration file")
     init.add_argument("--output", default=configuration.NAMES[0])
@@ -93,6 +93,8 @@ def run(argv: Sequence[str] | None = None) -> list[str]:
             file.write(configuration.dump(made))
         return [f"wrote {args.output}"]
     spark = session()
+    if args.verbose:
+        spark.sparkContext.setLogLevel("INFO")
     if args.command == "pack":
         options = _config(args.config, args.root).pack or packing.Options()
         for f in packing.fields_of(packing.Options):

@@ -88,6 +88,10 @@ class Rule:
     def directories_only(self) -> bool:
         return self.pattern.endswith("/")
 
+    @property
+    def anchored(self) -> bool:
+        return self.pattern.startswith("/")
+
     def regex(self, is_dir: bool) -> str:
         """For '/' + path; the root itself is ''."""
         body = self.pattern.rstrip("/") if self.directories_only else self.pattern

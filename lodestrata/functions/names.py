@@ -31,13 +31,6 @@ def prefixes(name: Column, separator: str = ".") -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), separator))
 
 
-def import_base(module: Column, is_package: Column, level: Column) -> Column:
-    """What a relative import of some level starts from; null if it leads above the top."""
-    parts = F.split(module, r"\.")
-    up = level - F.when(is_package, 1).otherwise(0)
-    return F.when(level == 0, "").when(up <= F.size(parts), F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - up, F.lit(0))), "."))
-
-
 @dataclass(frozen=True)
 class Limit:
     kind: str
@@ -47,29 +40,28 @@ class Limit:
         return f"{self.value}{'t' if self.kind == 'tokens' else 'b'}"
 
 
+_NUMBER = r"(\d+(?:\.\d*)?|\.\d+)\s*(gb|mb|kb|b)|(\d+)\s*(t?)"
+
+
 def parse_limit(text: str) -> Limit:
-    """'20_000t' is tokens; '1.5mb', '500kb', '123' are bytes, by powers of 1024."""
+    """'20_000t' is tokens; '1.5 mb', '500kb', '123' are bytes, by powers of 1024."""
     literal = text.strip().lower().replace("_", "")
-    if found := re.fullmatch(r"(\d+)t", literal):
-        kind, value = "tokens", int(found[1])
-    elif found := re.fullmatch(r"(\d+(?:\.\d*)?|\.\d+)(gb|mb|kb|b)?", literal):
-        kind, value = "bytes", int(float(found[1]) * UNITS[found[2] or "b"]) if found[2] or "." not in found[1] else 0
-    else:
+    if not (found := re.fullmatch(_NUMBER, literal, re.ASCII)):
         raise ValueError(f"not a size: {text!r}")
+    kind = "tokens" if found[4] else "bytes"
+    value = int(float(found[1]) * UNITS[found[2]]) if found[1] else int(found[3])
     if value < 1:
         raise ValueError(f"a size must be positive: {text!r}")
     return Limit(kind, value)
 
 
 def limit_bytes_column(text: Column) -> Column:
-    """struct(kind, value) of size literals in a column; null where one isn't a size."""
-    literal = F.replace(F.lower(F.trim(text)), F.lit("_"), F.lit(""))
-    number = F.regexp_extract(literal, r"^(\d+(?:\.\d+)?)(?:gb|mb|kb|b|t)?$", 1)
-    unit = F.regexp_extract(literal, r"^\d+(?:\.\d+)?(gb|mb|kb|b|t)?$", 1)
-    times = F.when(unit == "gb", UNITS["gb"]).when(unit == "mb", UNITS["mb"]).when(unit == "kb", UNITS["kb"]).otherwise(1)
-    value = F.floor(F.when(number != "", number).cast("double") * times).cast("long")
-    whole = ~F.contains(number, F.lit(".")) | unit.isin("gb", "mb", "kb", "b")
-    return F.when((value > 0) & whole, F.struct(F.when(unit == "t", "tokens").otherwise("bytes").alias("kind"), value.alias("value")))
+    """struct(kind, value) of size literals in a column; null where one isn't a size. The same literals as in parse_limit."""
+    literal = F.replace(F.lower(F.regexp_replace(text, r"^\s+|\s+$", "")), F.lit("_"), F.lit(""))
+    part = lambda k: F.regexp_extract(literal, f"^(?:{_NUMBER})$", k)
+    times = F.when(part(2) == "gb", UNITS["gb"]).when(part(2) == "mb", UNITS["mb"]).when(part(2) == "kb", UNITS["kb"]).otherwise(1)
+    value = F.when(part(1) != "", F.floor(part(1).try_cast("double") * times).cast("long")).otherwise(part(3).try_cast("long"))
+    return F.when(value > 0, F.struct(F.when(part(4) == "t", "tokens").otherwise("bytes").alias("kind"), value.alias("value")))
 
 
 def part_path(path: str, part: int) -> str:

@@ -93,6 +93,11 @@ def numbered(text: Column) -> Column:
     return F.concat(bound(lines(text), shown), F.when(text.endswith("\n"), "\n").otherwise(""))
 
 
+def in_order(values: Column) -> Column:
+    """The distinct values of an array in the order in which they first occur; nulls count as a value."""
+    return F.array_distinct(values)
+
+
 def headings(text: Column, most: int = 200) -> Column:
     """array<struct<level, text>> of the first ATX headings; code fences aren't looked at."""
     pattern = r"^(#{1,6})\s+(.+?)\s*$"

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.functions import ignore
+
 MANIFEST = "manifest.json"
 
 
@@ -20,8 +24,21 @@ def differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return both.select("path", status.alias("status")).where("status is not null")
 
 
+def missing(required: DataFrame, found: DataFrame, rules: Sequence[ignore.Rule] = (), include: Sequence[str] = ()) -> DataFrame:
+    """(path, reason) of the required paths that weren't found: what filtered them out, or that they can't be read."""
+    path = F.col("path")
+    reason = F.when(~ignore.included_column(include, path), "does not match the include patterns").when(ignore.hidden_column(rules, path, False), "excluded by ignore rules")
+    return required.select("path").distinct().join(found.select("path"), "path", "left_anti").select("path", reason.otherwise("not there, or a link that isn't followed").alias("reason"))
+
+
+def first(found: DataFrame, most: int = 50) -> DataFrame:
+    """(n, line): the first `most` differences in order of path, and a last line that tells how many more there are."""
+    line = F.concat("status", F.lit(": "), "path")
+    kept = found.orderBy("path").limit(most).withColumn("n", F.row_number().over(Window.orderBy("path"))).select("n", line.alias("line"))
+    more = found.agg((F.count("*") - most).alias("more")).where("more > 0")
+    return kept.unionByName(more.select(F.lit(most + 1).alias("n"), F.concat(F.lit("... and "), "more", F.lit(" more")).alias("line")))
+
+
 def report(found: DataFrame, most: int = 50) -> list[str]:
-    """The first differences, and how many more there are."""
-    total = found.count()
-    lines = [f"{r.status}: {r.path}" for r in found.orderBy("path").limit(most).collect()]
-    return lines + ([f"... and {total - most} more"] if total > most else [])
+    """The same as lines, on the driver."""
+    return [r.line for r in first(found, most).orderBy("n").collect()]

@@ -11,10 +11,13 @@ from lodestrata.functions import names
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Lineage is cut in the folder that the cluster names; only where none is set, in a temporary one."""
+    """Lineage is cut in the folder that the cluster names; only on one machine, where none is set, in a temporary one."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -60,11 +63,12 @@ def reverse_index(imports: DataFrame) -> DataFrame:
 def closure(start: DataFrame, links: DataFrame, key: str = "module") -> DataFrame:
     """(key, depth, parent): all that can be reached from `start` (key) along `links` (src, dst), breadth first.
 
-    Each round joins only the newest nodes with the links and drops those seen; lineage is cut each round.
-    Links are cut once, since every round reads them. The depth is the least; of several parents the least.
+    Each round joins only the newest nodes with the links and drops those seen, which are one table, cut anew each round.
+    Links are cut once, as they lie for the join. The depth is the least; of several parents the least.
     """
+    kind = links.schema["src"].dataType
     links = cut(links.select("src", "dst").where("src is not null and dst is not null").distinct())
-    newest = seen = cut(start.select(F.col(key).alias("node")).where("node is not null").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(links.schema["src"].dataType).alias("parent")))
+    newest = seen = cut(start.select(F.col(key).alias("node")).where("node is not null").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent")))
     depth = 0
     while True:
         depth += 1
@@ -72,7 +76,7 @@ def closure(start: DataFrame, links: DataFrame, key: str = "module") -> DataFram
         newest = cut(step.join(seen.select("node"), "node", "left_anti").select("node", "depth", "parent"))
         if newest.isEmpty():
             return seen.withColumnRenamed("node", key)
-        seen = seen.unionByName(newest)
+        seen = cut(seen.unionByName(newest))
 
 
 def forward_closure(start: DataFrame, imports: DataFrame, modules: DataFrame) -> DataFrame:

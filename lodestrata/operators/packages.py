@@ -49,3 +49,8 @@ def totals(symbols: DataFrame) -> DataFrame:
 def find(symbols: DataFrame, kind: str, name: str) -> DataFrame:
     """(module, line) of the classes or functions (kind) of that name."""
     return symbols.select("module", F.explode(kind).alias("s")).where(F.col("s.name") == name).select("module", F.col("s.line").alias("line"))
+
+
+def get(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """The row of the module (column module) or package (column name) of that name, if there is one; sources with the name give a row each."""
+    return rows.where(F.col(column) == name)

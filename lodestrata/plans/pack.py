@@ -9,6 +9,7 @@ import tempfile
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from dataclasses import fields as fields_of
+from itertools import groupby
 from pathlib import Path
 
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import ignore, names, outline, pysource, text, tokens
-from lodestrata.operators import graph, sizes, trees
+from lodestrata.operators import compare, graph, sizes, trees
 from lodestrata.plans import render
 from lodestrata.sources import langserver, tree
 
@@ -164,7 +165,8 @@ def sliced(spark: SparkSession, root: str, entries: DataFrame, o: Options) -> Da
         one = start.first()
         where = parsed.where(F.col("module") == one.module).select(F.explode("positions").alias("p")).collect()
         places = [(r.p.line, r.p.character) for r in where if o.uses_include_private or not (r.p.name or "").startswith("_")]
-        used = langserver.references(root, one.path, sorted(set(places)), names.split_command(o.langserver))
+        files = [r.path for r in modules.select("path").orderBy("path").toLocalIterator()]  # names only, for the server to open
+        used = langserver.references(root, one.path, sorted(set(places)), names.split_command(o.langserver), files, import_roots)
         wanted = wanted.union(modules.where(F.col("path").isin(*used)).select("module")) if used else wanted
     if o.deps:
         reached = graph.forward_closure(wanted.distinct(), imports, modules)
@@ -275,15 +277,16 @@ class _Sink:
 def chosen_files(spark: SparkSession, root: str, o: Options) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(decided entries, files to show, paths of the slice)."""
     rules = ignore.compile_rules(tree.ignore_lines(root, o.ignore, o.ignore_files, o.standard_ignores))
-    entries = tree.scan(spark, root, o.symlinks)
+    entries = tree.scan(spark, root, o.symlinks, rules=rules, include=o.include, most_bytes=o.max_file_bytes)
     decided = tree.decided(entries, rules, o.include)
-    wanted = sliced(spark, root, entries, o)
+    # Imports are followed through ignored files, too, so a slice has a scan of its own.
+    wanted = sliced(spark, root, tree.scan(spark, root, o.symlinks, ending=".py"), o) if o.entries or o.target or o.target_module else None
     found = tree.files(decided, o.max_file_bytes)
     if wanted is not None:
         wanted = graph.cut(wanted)
-        lost = wanted.join(found, "path", "left_anti").orderBy("path").collect()
+        lost = compare.missing(wanted, found, rules, o.include).orderBy("path").collect()
         if lost:
-            raise PackError("required files aren't included by the filters: " + ", ".join(r.path for r in lost))
+            raise PackError("required files aren't included by the filters:\n" + "\n".join(f"- {r.path}: {r.reason}" for r in lost))
         found = found.join(wanted, "path", "left_semi")
     return decided, found, wanted
 
@@ -373,14 +376,24 @@ def _parts(rows: DataFrame, column: str, prefix, suffix: str, o: Options, output
     sized = graph.cut(rows.withColumn("size", _size(column, split.kind, o.token_encoding)))
     # Only paths and sizes pass through the fold; its parts are read back one after another.
     plan = graph.cut(sizes.next_fit(sized.select("path", "size"), split.value, measure(prefix(1)), measure(prefix(2)), measure(suffix)))
-    last = plan.agg(F.max("part")).first()[0] or 0
-    made = []
-    for part in range(1, last + 1):
-        body = sized.join(plan.where(F.col("part") == part).select("path"), "path", "left_semi").orderBy("path").select(column)
-        made.append(sink.write(names.part_path(output, part), (x for p in ([prefix(part)], (r[0] for r in body.toLocalIterator()), [suffix]) for x in p), o.token_encoding))
-        size = made[-1].bytes if split.kind == "bytes" else made[-1].tokens
+    ordered = sized.join(plan.select("path", "part"), "path").orderBy("part", "path").select("part", column)
+    made: list[Artifact] = []
+
+    def write(part: int, blocks: list[str]) -> list[str]:
+        """Writes a part; the blocks that don't fit, as counted over the whole text, go on to the next."""
+        later: list[str] = []
+        while (size := measure("".join([prefix(part), *blocks, suffix]))) > split.value and len(blocks) > 1:
+            later.insert(0, blocks.pop())
         if size > split.value:
-            raise PackError(f"{made[-1].path} has {size} {split.kind}; {split.value} are allowed")
+            raise PackError(f"one file alone needs {size} {split.kind} in a part; {split.value} are allowed")
+        made.append(sink.write(names.part_path(output, part), [prefix(part), *blocks, suffix], o.token_encoding))
+        return later
+
+    over: list[str] = []
+    for _, rows_of in groupby(ordered.toLocalIterator(), lambda r: r[0]):  # a part is no longer than the limit
+        over = write(len(made) + 1, over + [r[1] for r in rows_of])
+    while over:
+        over = write(len(made) + 1, over)
     return made
 
 
@@ -417,13 +430,18 @@ def selection_report(decided: DataFrame, found: DataFrame, wanted: DataFrame | N
     decision = F.when(left == "slice", "excluded").otherwise(F.col("decision"))
     rows = marked.select("path", "is_dir", decision.alias("decision"), left.alias("reason"), "matched_pattern", "matched_source").orderBy(F.desc("is_dir"), "path")
     traced = [r.asDict() for r in rows.toLocalIterator()]
-    kept = [t for t in traced if not t["is_dir"]]
+    shown = lambda t, *names: {k: t[k] for k in names}
+    why = ("reason", "matched_pattern", "matched_source")
+    kept = [shown(t, "path", "decision", *why) for t in traced if not t["is_dir"]]
+    walked = [t for t in kept if t["reason"] in (None, "slice")]
+    rules = ignore.compile_rules(tree.ignore_lines(root, o.ignore, o.ignore_files, o.standard_ignores))
     report = {
-        "root": os.path.basename(root), "include": o.include, "ignore": o.ignore, "ignore_files": o.ignore_files, "standard_ignores": o.standard_ignores, "symlinks": o.symlinks, "max_file_bytes": o.max_file_bytes,
-        "mode": o.mode, "slice": {"entries": o.entries, "deps": o.deps, "target": o.target, "target_module": o.target_module, "reverse_deps": o.reverse_deps, "uses": o.uses, "backend": o.slice_backend},
-        "rules": [{"pattern": r.pattern, "negated": r.negated, "source": r.source} for r in ignore.compile_rules(tree.ignore_lines(root, o.ignore, o.ignore_files, o.standard_ignores))],
-        "counts": {"files": len(kept), "selected": sum(t["decision"] == "included" for t in kept)},
-        "excluded_dirs": [t for t in traced if t["is_dir"] and t["decision"] == "excluded"], "files": kept,
+        "root_name": os.path.basename(root), "mode": o.mode, "include_patterns": o.include, "respect_standard_ignores": o.standard_ignores, "ignore_files": o.ignore_files, "symlinks": o.symlinks, "max_file_bytes": o.max_file_bytes,
+        "selection": {"entries": o.entries, "deps": o.deps, "target": o.target, "target_module": o.target_module, "reverse_deps": o.reverse_deps, "uses": o.uses, "slice_backend": o.slice_backend},
+        "counts": {"discovered_files": len(walked), "selected_files": sum(t["decision"] == "included" for t in walked)},
+        "ignore_rules": [{"pattern": r.pattern, "negated": r.negated, "anchored": r.anchored, "directory_only": r.directories_only, "source": r.source} for r in rules],
+        "excluded_directories": [shown(t, "path", *why) for t in traced if t["is_dir"] and t["decision"] == "excluded"],
+        "files": kept,
     }
     sink = _Sink()
     sink.write(o.selection_report, [json.dumps(report, ensure_ascii=False, indent=2, sort_keys=True) + "\n"], tokens.APPROXIMATE)

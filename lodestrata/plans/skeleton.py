@@ -15,8 +15,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
 from pathlib import Path
+from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import ignore, pysource, tokens
@@ -26,8 +28,29 @@ from lodestrata.plans.pack import fail, replace_directory
 from lodestrata.sources import tree
 
 VERSION = "1"
-FORMATS = {"yaml": ".yaml", "json": ".json", "markdown": ".md"}
-DEFAULT_EXCLUDE = (".git", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".venv", ".skeleton", "*.pyc", "__pycache__")
+DEFAULT_EXCLUDE = tuple(sorted({"__pycache__", "*.pyc"} | {f".{name}" for name in ("skeleton", "git", "venv", "ruff_cache", "pytest_cache", "mypy_cache")}))
+
+
+class Formatter(Protocol):
+    """A format of a skeleton's documents: the ending of its files, and their text."""
+
+    suffix: str
+
+    def hierarchy(self, document: dict) -> str: ...
+
+    def modules(self, document: dict, rows: list, full: bool) -> str:
+        """document: a package's modules at the skeleton's level; rows: the same as rows of symbols; full: with signatures."""
+
+
+#: What a skeleton can be written as, by name.
+FORMATS: dict[str, Formatter] = {}
+
+
+def register(name: str, formatter: Formatter) -> None:
+    """From now on the format can be asked for by that name."""
+    if any(f.suffix == formatter.suffix and n != name for n, f in FORMATS.items()):
+        raise ValueError(f"another format has the ending {formatter.suffix}")
+    FORMATS[name] = formatter
 
 
 class SkeletonError(ValueError):
@@ -42,6 +65,13 @@ class Skeleton:
     modules: DataFrame
     metadata: dict
 
+    def module(self, name: str) -> DataFrame:
+        """The row of a module by its name; no row if there is none."""
+        return packages.get(self.modules, "module", name)
+
+    def package(self, name: str) -> DataFrame:
+        return packages.get(self.packages, "name", name)
+
 
 def generate(spark: SparkSession, sources: list[str], level: str = "modules", exclude: list[str] | None = None, symlinks: str = "forbid", encoding: str = tokens.APPROXIMATE) -> Skeleton:
     if level not in pysource.LEVELS:
@@ -50,7 +80,7 @@ def generate(spark: SparkSession, sources: list[str], level: str = "modules", ex
     roots = [os.path.abspath(s) for s in sources]
     entries = None
     for k, root in enumerate(roots):
-        each = tree.decided(tree.scan(spark, root, symlinks), rules).where("decision = 'included' and not is_dir and endswith(path, '.py')")
+        each = tree.decided(tree.scan(spark, root, symlinks, rules=rules, ending=".py"), rules).where("decision = 'included' and not is_dir and endswith(path, '.py')")
         each = each.select("path", F.lit(k).alias("source"), F.validate_utf8(F.col("content").cast("string")).alias("content"))
         entries = each if entries is None else entries.unionByName(each)
     entries = graph.cut(entries)
@@ -66,14 +96,33 @@ def generate(spark: SparkSession, sources: list[str], level: str = "modules", ex
     made = graph.cut(packages.package_tree(found))
     sums = packages.totals(symbols).first().asDict() | {"total_modules": found.where("not is_package").count(), "total_packages": made.count()}
     one = Skeleton(level, roots, made, symbols, {"generator_version": VERSION, "resolution": level} | sums)
-    estimate = 0
-    if level != "hierarchy":
-        for _, document in module_documents(one):
-            estimate += tokens.count(render.canonical(document), encoding)
-    one.metadata["token_estimate"] = estimate + tokens.count(render.canonical(hierarchy_document(one, roots)), encoding)
+    one.metadata["token_estimate"] = _estimate(one, encoding) + tokens.count(render.canonical(hierarchy_document(one, roots)), encoding)
     return one
 
 
+def _estimate(skeleton: Skeleton, encoding: str) -> int:
+    """Tokens of all documents of packages but the hierarchy: each module's text is counted where it lies."""
+    if skeleton.level == "hierarchy":
+        return 0
+    rows, level = skeleton.modules.drop("edges", "positions", "error"), skeleton.level
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [render.canonical({r.module.rsplit(".", 1)[-1]: _module(r, level)}) for r in map(_as_row, batch.to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+
+    counted = rows.mapInArrow(run, "text string").agg(F.sum(tokens.count_column(F.col("text"), encoding))).first()[0] or 0
+    named = rows.select("package").distinct().select(F.concat(F.lit('{"modules":{},"package":"'), "package", F.lit('"}')).alias("text"))
+    return counted + (named.agg(F.sum(tokens.count_column(F.col("text"), encoding))).first()[0] or 0)
+
+
+def _as_row(value: object) -> object:
+    """Nested dictionaries as rows, so that a worker makes the same documents as the driver."""
+    if isinstance(value, dict):
+        return Row(**{k: _as_row(v) for k, v in value.items()})
+    return [_as_row(v) for v in value] if isinstance(value, list) else value
+
+
 def hierarchy_document(skeleton: Skeleton, sources: list[str]) -> dict:
     order = ("generator_version", "sources", "resolution", "total_packages", "total_modules", "total_classes", "total_functions", "token_estimate")
     known = skeleton.metadata | {"sources": sources}
@@ -158,12 +207,41 @@ def _markdown_module(row, full: bool) -> list[str]:
     return out
 
 
-def _text(document: dict, fmt: str) -> str:
-    if fmt == "json":
-        return json.dumps(document, indent=2, ensure_ascii=False) + "\n"
-    import yaml
+class _Json:
+    suffix = ".json"
+
+    def hierarchy(self, document: dict) -> str:
+        return json.dumps(document | {"$schema": "schemas/hierarchy.schema.json"}, indent=2, ensure_ascii=False) + "\n"
+
+    def modules(self, document: dict, rows: list, full: bool) -> str:
+        return json.dumps(document | {"$schema": "../schemas/module.schema.json"}, indent=2, ensure_ascii=False) + "\n"
+
+
+class _Yaml:
+    suffix = ".yaml"
+
+    def hierarchy(self, document: dict) -> str:
+        import yaml
+
+        return yaml.safe_dump(document, allow_unicode=True, sort_keys=False, default_flow_style=False, width=1 << 20)
+
+    def modules(self, document: dict, rows: list, full: bool) -> str:
+        return self.hierarchy(document)
+
+
+class _Markdown:
+    suffix = ".md"
+
+    def hierarchy(self, document: dict) -> str:
+        return _markdown_hierarchy(document)
+
+    def modules(self, document: dict, rows: list, full: bool) -> str:
+        return "\n".join([f"# Package: {document['package']}", "", *(x for r in rows for x in _markdown_module(r, full))])
+
 
-    return yaml.safe_dump(document, allow_unicode=True, sort_keys=False, default_flow_style=False, width=1 << 20)
+register("yaml", _Yaml())
+register("json", _Json())
+register("markdown", _Markdown())
 
 
 def schemas() -> dict[str, dict]:
@@ -212,21 +290,18 @@ def write_into(skeleton: Skeleton, directory: str, formats: list[str], base: str
     for name, schema in schemas().items():
         put(f"schemas/{name}", json.dumps(schema, indent=2) + "\n")
     for fmt in formats:
-        linked = top | {"$schema": "schemas/hierarchy.schema.json"} if fmt == "json" else top
-        put(f"hierarchy{FORMATS[fmt]}", _markdown_hierarchy(top) if fmt == "markdown" else _text(linked, fmt))
+        put(f"hierarchy{FORMATS[fmt].suffix}", FORMATS[fmt].hierarchy(top))
     for name, rows in _by_package(skeleton):
         document = {"package": name, "modules": {r.module.rsplit(".", 1)[-1]: _module(r, skeleton.level) for r in rows}}
         for fmt in formats:
-            linked = document | {"$schema": "../schemas/module.schema.json"} if fmt == "json" else document
-            lines = [f"# Package: {name}", "", *(x for r in rows for x in _markdown_module(r, skeleton.level == "signatures"))]
-            put(f"modules/{name}{FORMATS[fmt]}", "\n".join(lines) if fmt == "markdown" else _text(linked, fmt))
+            put(f"modules/{name}{FORMATS[fmt].suffix}", FORMATS[fmt].modules(document, rows, skeleton.level == "signatures"))
     hashes = {p.relative_to(target).as_posix(): hashlib.sha256(p.read_bytes()).hexdigest() for p in sorted(target.rglob("*")) if p.is_file()}
     put(compare.MANIFEST, render.canonical({"formats": formats, "resolution": skeleton.level, "files": hashes}) + "\n")
 
 
 def read_metadata(directory: str) -> tuple[list[str], str]:
     """(formats, level) of a skeleton that was written."""
-    formats = [f for f, end in FORMATS.items() if Path(directory, f"hierarchy{end}").is_file()]
+    formats = [name for name, f in FORMATS.items() if Path(directory, f"hierarchy{f.suffix}").is_file()]
     if not formats:
         raise SkeletonError(f"there is no skeleton in {directory}")
     if "json" in formats:

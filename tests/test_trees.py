@@ -141,7 +141,9 @@ def test_report_and_limits(spark, root, tmp_path):
     report = json.loads((tmp_path / "report.json").read_text())
     reasons = {f["path"]: f["reason"] for f in report["files"]}
     assert reasons["pkg/unrelated.py"] == "slice" and reasons["kept.txt"] == "include" and reasons["ignored.txt"] == "ignore" and reasons["pkg/a.py"] is None
-    assert report["excluded_dirs"][0]["path"] == ".runtime"
+    assert report["excluded_directories"][0]["path"] == ".runtime"
+    assert report["counts"] == {"discovered_files": 4, "selected_files": 3}
+    assert {"pattern", "negated", "anchored", "directory_only", "source"} == set(report["ignore_rules"][0])
     with pytest.raises(packing.PackError, match="allowed"):
         do(spark, root, tmp_path, max_output="10b", name="big.md")
     assert not (tmp_path / "big.md").exists()
