@@ -79,10 +79,10 @@ def selection_trace(spark, sf_dir):
 
 
 @query(f"""WITH {FILES_SQL} SELECT count(DISTINCT path) AS files, count(*) FILTER (ends_with(path, '.py')) AS python_files,
-    count(*) FILTER (position(chr(0) IN content) > 0) AS binary_files, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM files""")
+    count(*) FILTER (contains(content, chr(0)) AND octet_length(encode(split_part(content, chr(0), 1))) < 8192) AS binary_files, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM files""")
 def overview(spark, sf_dir):
     files = corpus.files(spark, sf_dir)
-    return render.overview(files.withColumn("is_binary", F.contains("content", F.lit("\0"))))
+    return render.overview(files.withColumn("is_binary", text.is_binary(F.col("content").cast("binary"))))
 
 
 @query(f"WITH {FILES_SQL} SELECT path, {_case(SHOWN, 'path', False, lambda r: repr(r[1]), chr(39).join(['CASE WHEN ends_with(path, ', '.py', ') THEN ', 'summary', ' ELSE ', 'meta', ' END']))} AS representation FROM files")
@@ -195,11 +195,15 @@ def _reached(start: str, src: str, dst: str, links: str) -> str:
 SELECT DISTINCT module FROM reach"""
 
 
-@query(_reached("SELECT 'docs.d' || doc_id AS module FROM ids WHERE doc_id % 50 = 49", "src", "dst", "links"))
+_LAST = "SELECT 'docs.d' || max(doc_id) AS module FROM ids"
+
+
+@query(f"""WITH RECURSIVE {IMPORTS_SQL}, reach AS ({_LAST} UNION SELECT l.dst FROM reach r JOIN links l ON l.src = r.module WHERE l.resolved)
+SELECT module FROM reach WHERE module IS NOT NULL UNION SELECT 'docs' FROM reach WHERE module IS NOT NULL""")
 def forward_closure(spark, sf_dir):
-    ids = table(spark, sf_dir, "documents").where("doc_id % 50 = 49").select(F.expr("concat('docs.d', doc_id)").alias("module")).distinct()
-    links = corpus.imports(spark, sf_dir).where("resolved").select(F.col("module").alias("src"), F.col("target").alias("dst"))
-    return graph.closure(ids, links).select("module")
+    """What the last document needs, and the packages above that."""
+    last = table(spark, sf_dir, "documents").agg(F.max("doc_id").alias("doc_id")).select(F.expr("concat('docs.d', doc_id)").alias("module"))
+    return graph.forward_closure(last, corpus.imports(spark, sf_dir), corpus.documents_as_modules(spark, sf_dir)).select("module")
 
 
 @query(_reached("SELECT 'docs.d2' AS module", "dst", "src", "links"))
@@ -229,24 +233,29 @@ def reverse_import_index(spark, sf_dir):
     return graph.reverse_index(corpus.imports(spark, sf_dir)).select("target", F.array_join("importers", ",").alias("importers"))
 
 
-@query(f"WITH {IMPORTS_SQL} SELECT src AS module, string_agg(DISTINCT dst, ',' ORDER BY dst) AS targets FROM links GROUP BY src")
+@query("""WITH seen AS (SELECT l_orderkey, l_returnflag || l_linestatus AS kind, min((l_linenumber, l_partkey)) AS first_at FROM lineitem GROUP BY ALL)
+SELECT l_orderkey AS module, string_agg(kind, ',' ORDER BY first_at, kind) AS targets FROM seen GROUP BY 1""")
 def import_dedup_order(spark, sf_dir):
-    found = corpus.imports(spark, sf_dir).where("not startswith(target, 'docs.gone')")
-    return found.groupBy("module").agg(F.array_join(F.sort_array(F.collect_set("target")), ",").alias("targets"))
+    """The kinds of an order's lines in the order in which they first occur."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", F.concat("l_returnflag", "l_linestatus").alias("kind")).alias("line"))
+    kinds = lines.groupBy(F.col("l_orderkey").alias("module")).agg(F.transform(F.sort_array(F.collect_list("line")), lambda x: x["kind"]).alias("kinds"))
+    return kinds.select("module", F.array_join(text.in_order(F.col("kinds")), ",").alias("targets"))
 
 
-@query(f"WITH {FILES_SQL} SELECT path FROM files WHERE doc_id % 11 = 0 AND NOT ({_INCLUDES})")
+@query(f"""WITH {FILES_SQL} SELECT path, CASE WHEN NOT ({_INCLUDES}) THEN 'does not match the include patterns' ELSE 'excluded by ignore rules' END AS reason
+FROM files WHERE NOT ({_INCLUDES}) OR {_verdict('dir1', True)} OR {_verdict('dir2', True)} OR {_verdict('path', False)}""")
 def required_missing(spark, sf_dir):
-    files = corpus.files(spark, sf_dir)
-    chosen = files.where(ignore.included_column(INCLUDED, F.col("path"))).select("path")
-    return files.where("doc_id % 11 = 0").select("path").join(chosen, "path", "left_anti")
+    """Why a pack that requires every file misses some of them."""
+    files = corpus.files(spark, sf_dir).withColumn("is_dir", F.lit(False))
+    found = tree.decided(files.select("path", "is_dir"), IGNORED, INCLUDED).where("decision = 'included'")
+    return compare.missing(files, found, IGNORED, INCLUDED)
 
 
 @query(f"WITH {FILES_SQL} SELECT path FROM files WHERE NOT ({_INCLUDES})")
 def required_missing_all(spark, sf_dir):
     files = corpus.files(spark, sf_dir)
     chosen = files.where(ignore.included_column(INCLUDED, F.col("path"))).select("path")
-    return files.select("path").join(chosen, "path", "left_anti")
+    return compare.missing(files, chosen, [], INCLUDED).select("path")
 
 
 @query(f"""WITH {FILES_SQL} SELECT dir1 AS key, dir1 || '/' AS line FROM files UNION SELECT dir2, '  ' || split_part(dir2, '/', 2) || '/' FROM files
@@ -277,9 +286,14 @@ def line_numbers(spark, sf_dir):
 _TICKED = "repeat('`', CAST(doc_id % 7 AS INT)) || content || repeat('`', CAST(doc_id % 3 AS INT))"
 
 
-@query(f"WITH {FILES_SQL} SELECT path, repeat('`', greatest(3, CAST(doc_id % 7 AS INT) + 1)) AS fence FROM files WHERE content NOT LIKE '%`%' AND length(content) > 0")
+#: The longest run of backticks in a text.
+_RUN = "coalesce(list_max(list_transform(regexp_extract_all({}, '`+'), lambda x: length(x))), 0)"
+
+
+@query(f"""WITH {FILES_SQL}, ticked AS (SELECT path, {_TICKED} AS t FROM files)
+SELECT path, repeat('`', CAST(greatest(3, {_RUN.format('t')} + 1) AS BIGINT)) AS fence FROM ticked""")
 def safe_fence(spark, sf_dir):
-    files = corpus.files(spark, sf_dir).where("content not like '%`%' and length(content) > 0").withColumn("t", F.expr(_TICKED))
+    files = corpus.files(spark, sf_dir).withColumn("t", F.expr(_TICKED))
     return files.select("path", text.fence(F.col("t")).alias("fence"))
 
 
@@ -288,11 +302,15 @@ def base64_bytes(spark, sf_dir):
     return corpus.files(spark, sf_dir).select("path", text.base64(F.col("content")).alias("encoded"), text.byte_length(F.col("content")).alias("size_bytes"))
 
 
-@query("SELECT n_nationkey, list_position([1, 2, 3, 4, 5], n_nationkey % 5 + 1) AS level, n_name AS heading FROM nation UNION ALL SELECT n_nationkey, 6, 'End of ' || n_nationkey FROM nation")
+@query(rf"""WITH {FILES_SQL}, shown AS (SELECT path, repeat('#', CAST(doc_id % 8 AS INT)) || ' ' || content || chr(10) || chr(10) || '###### End  ' || chr(10) || ' # no' AS t FROM files),
+split AS (SELECT path, regexp_split_to_array(t, '\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS l FROM shown),
+each AS (SELECT path, unnest(l) AS line, unnest(range(len(l))) AS n FROM split),
+found AS (SELECT path, line, row_number() OVER (PARTITION BY path ORDER BY n) AS place FROM each WHERE regexp_matches(line, '^(#{{1,6}})[ \t\n\x0b\x0c\r]+(.+?)[ \t\n\x0b\x0c\r]*$'))
+SELECT path, CAST(place AS INTEGER) AS place, CAST(length(regexp_extract(line, '^(#{{1,6}})', 1)) AS INTEGER) AS level, sha256(regexp_extract(line, '^#{{1,6}}[ \t\n\x0b\x0c\r]+(.+?)[ \t\n\x0b\x0c\r]*$', 1)) AS heading FROM found WHERE place <= 200""")
 def md_headings(spark, sf_dir):
-    shown = "concat(repeat('#', n_nationkey % 5 + 1), '  ', n_name, ' \\n\\ntext # no\\n #no\\n####### no\\n###### End of ', n_nationkey, '\\n')"
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.explode(text.headings(F.expr(shown))).alias("h"))
-    return rows.select("n_nationkey", "h.level", F.col("h.text").alias("heading"))
+    shown = F.expr(r"concat(repeat('#', cast(doc_id % 8 as int)), ' ', content, '\n\n###### End  \n # no')")
+    rows = corpus.files(spark, sf_dir).select("path", F.posexplode(text.headings(shown)).alias("place", "h"))
+    return rows.select("path", (F.col("place") + 1).alias("place"), "h.level", F.sha2("h.text", 256).alias("heading"))
 
 
 @query(f"WITH {FILES_SQL} SELECT path, sha256(content) AS sha256 FROM files")
@@ -323,11 +341,11 @@ def fit_to_budget(spark, sf_dir):
     return sizes.downgrades(corpus.files(spark, sf_dir).select("path", F.col("size_bytes").alias("savings")), 250_000)
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'tokens' WHEN 4 THEN NULL ELSE 'bytes' END AS kind,
-    CASE p_partkey % 5 WHEN 0 THEN p_size * 1000 WHEN 1 THEN p_size * 1572864 WHEN 2 THEN p_size * 1024 WHEN 3 THEN p_size ELSE NULL END::BIGINT AS value FROM part""")
+@query("""SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'tokens' WHEN 4 THEN NULL ELSE 'bytes' END AS kind,
+    CASE p_partkey % 7 WHEN 0 THEN p_size * 1000 WHEN 1 THEN p_size * 1572864 WHEN 2 THEN p_size * 1024 WHEN 3 THEN p_size WHEN 5 THEN 524288 WHEN 6 THEN p_size ELSE NULL END::BIGINT AS value FROM part""")
 def limit_parse(spark, sf_dir):
-    shown = "CASE p_partkey % 5 WHEN 0 THEN concat(p_size, '_000t') WHEN 1 THEN concat(cast(cast(p_size as decimal(10, 1)) * 1.5 as decimal(12, 2)), ' mb') WHEN 2 THEN concat(p_size, 'KB') WHEN 3 THEN concat(p_size, '') ELSE concat(p_size, '.5t') END"
-    found = table(spark, sf_dir, "part").select("p_partkey", names.limit_bytes_column(F.replace(F.expr(shown), F.lit(" "), F.lit(""))).alias("found"))
+    shown = "CASE p_partkey % 7 WHEN 0 THEN concat(p_size, '_000 t') WHEN 1 THEN concat(cast(cast(p_size as decimal(10, 1)) * 1.5 as decimal(12, 2)), ' mb') WHEN 2 THEN concat(' ', p_size, 'KB') WHEN 3 THEN concat(p_size, '') WHEN 5 THEN '.5MB' WHEN 6 THEN concat(p_size, '. b ') ELSE concat(p_size, '.5t') END"
+    found = table(spark, sf_dir, "part").select("p_partkey", names.limit_bytes_column(F.expr(shown)).alias("found"))
     return found.select("p_partkey", "found.kind", "found.value")
 
 
@@ -337,27 +355,29 @@ def json_key_outline(spark, sf_dir):
     return outline.outline(rows, "json").select("event_id", F.array_join("paths", ",").alias("paths"))
 
 
-_DEEP = "'part,supply,part.name,part.sizes,supply.at,part.sizes[0],part.sizes[1]'"
+
+_DEEP = """SELECT p_partkey, 'part,supply,part.' || p_brand_ || ',part.sizes,supply.at' || CASE WHEN n = 0 THEN '' ELSE ',' || array_to_string(list_transform(range(n), lambda i: 'part.sizes[' || i || ']'), ',') END AS paths
+FROM (SELECT p_partkey, 'b' || p_size AS p_brand_, p_size % 4 AS n FROM part)"""
+_SIZES = "array_join(transform(slice(array(7, 8, 9), 1, p_size % 4), x -> cast(x as string)), ', ')"
 
 
-@query(f"SELECT p_partkey, {_DEEP} AS paths FROM part")
+@query(_DEEP)
 def yaml_outline(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr("concat('supply: {at: ', p_partkey, '}\\npart:\\n  sizes: [', p_size, ', 2]\\n  name: x\\n')").alias("text"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(f"concat('supply: {{at: ', p_partkey, '}}\\npart:\\n  sizes: [', {_SIZES}, ']\\n  b', p_size, ': x\\n')").alias("text"))
     return outline.outline(rows, "yaml").select("p_partkey", F.array_join("paths", ",").alias("paths"))
 
 
-@query(f"SELECT p_partkey, {_DEEP} AS paths FROM part")
+@query(_DEEP)
 def toml_outline(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr("concat('[supply]\\nat = ', p_partkey, '\\n[part]\\nname = \"x\"\\nsizes = [', p_size, ', 2]\\n')").alias("text"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(f"concat('[supply]\\nat = ', p_partkey, '\\n[part]\\nb', p_size, ' = \"x\"\\nsizes = [', {_SIZES}, ']\\n')").alias("text"))
     return outline.outline(rows, "toml").select("p_partkey", F.array_join("paths", ",").alias("paths"))
 
 
-@query(f"""WITH {FILES_SQL} SELECT path, sha256(chr(10) || '### ' || path || chr(10) || chr(10) || chr(10) || '```' ||
-    CASE doc_id % 5 WHEN 0 THEN 'markdown' WHEN 2 THEN 'json' WHEN 3 THEN 'python' ELSE '' END || chr(10) || rtrim(content, chr(10)) || chr(10) || '```' || chr(10)) AS block
-FROM files WHERE content NOT LIKE '%```%'""")
+@query(f"""WITH {FILES_SQL}, trimmed AS (SELECT *, rtrim(content, chr(10)) AS body FROM files), fenced AS (SELECT *, repeat('`', CAST(greatest(3, {_RUN.format('body')} + 1) AS BIGINT)) AS fence FROM trimmed)
+SELECT path, sha256(chr(10) || '### ' || path || chr(10) || chr(10) || chr(10) || fence ||
+    CASE doc_id % 5 WHEN 0 THEN 'markdown' WHEN 2 THEN 'json' WHEN 3 THEN 'python' ELSE '' END || chr(10) || body || chr(10) || fence || chr(10)) AS block FROM fenced""")
 def md_blocks(spark, sf_dir):
-    files = corpus.files(spark, sf_dir).where("content not like '%```%'")
-    return files.select("path", F.sha2(text.markdown_block(F.col("path"), text.language(F.col("path")), F.lit(False), F.col("content")), 256).alias("block"))
+    return corpus.files(spark, sf_dir).select("path", F.sha2(text.markdown_block(F.col("path"), text.language(F.col("path")), F.lit(False), F.col("content")), 256).alias("block"))
 
 
 @query(f"""WITH {FILES_SQL} SELECT path, sha256(chr(10) || repeat('=', 80) || chr(10) || path || chr(10) || repeat('-', 80) || chr(10) || rtrim(content, chr(10)) || chr(10)) AS block FROM files""")
@@ -373,19 +393,45 @@ def jsonl_records(spark, sf_dir):
     return back.select("path", F.col("r.path").alias("p"), F.col("r.size_bytes").alias("n"), "r.representation", F.sha2("r.content", 256).alias("content"))
 
 
-@query(f"""WITH {FILES_SQL} SELECT path, doc_id % 4 < 2 AS is_binary FROM files WHERE doc_id % 4 <> 1 OR size_bytes > 0""")
+@query(f"""WITH {FILES_SQL} SELECT path, doc_id % 4 < 2 OR contains(content, chr(0)) AND octet_length(encode(split_part(content, chr(0), 1))) < 8192 AS is_binary FROM files""")
 def binary_sniff(spark, sf_dir):
-    files = corpus.files(spark, sf_dir).where("doc_id % 4 <> 1 or size_bytes > 0")
     spoiled = F.expr("CASE doc_id % 4 WHEN 0 THEN concat(X'00', encode(content, 'UTF-8')) WHEN 1 THEN concat(X'FF', encode(content, 'UTF-8')) ELSE encode(content, 'UTF-8') END")
-    return files.select("path", text.is_binary(spoiled).alias("is_binary"))
+    return corpus.files(spark, sf_dir).select("path", text.is_binary(spoiled).alias("is_binary"))
 
 
 @query(f"WITH {FILES_SQL} SELECT path, size_bytes FROM files ORDER BY size_bytes DESC, path LIMIT 50")
 def top_n_files(spark, sf_dir):
-    return corpus.files(spark, sf_dir).select("path", "size_bytes").orderBy(F.desc("size_bytes"), "path").limit(50)
+    return sizes.largest(corpus.files(spark, sf_dir), 50)
+
+
+@query(f"""WITH {FILES_SQL}, found AS (SELECT path, CASE WHEN doc_id % 2 = 0 THEN 'missing' ELSE 'changed' END AS status, row_number() OVER (ORDER BY path) AS n FROM files)
+SELECT CAST(n AS INTEGER) AS n, status || ': ' || path AS line FROM found WHERE n <= 50
+UNION ALL SELECT 51, '... and ' || (count(*) - 50) || ' more' FROM found HAVING count(*) > 50""")
+def first_mismatches(spark, sf_dir):
+    files = corpus.files(spark, sf_dir)
+    changed = files.where("doc_id % 2 = 1").withColumn("content", F.concat("content", F.lit("!")))
+    return compare.first(compare.differences(compare.manifest(files), compare.manifest(changed)))
+
+
+@query("SELECT 'pkg.customer_' || c_custkey AS module, 'Customer ' || c_name || '.' AS doc FROM customer WHERE c_custkey = (SELECT max(c_custkey) FROM customer)")
+def module_by_name(spark, sf_dir):
+    last = table(spark, sf_dir, "customer").agg(F.max("c_custkey")).first()[0]
+    return packages.get(_parsed(spark, sf_dir), "module", f"pkg.customer_{last}").select("module", "doc")
+
+
+@query(f"""WITH {MODULES_SQL} SELECT 'europe' AS name, string_agg(DISTINCT p2, ',' ORDER BY p2) AS subpackages FROM modules WHERE p1 = 'europe' HAVING count(*) > 0""")
+def package_by_name(spark, sf_dir):
+    made = packages.get(packages.package_tree(packages.modules(corpus.modules(spark, sf_dir))), "name", "europe")
+    return made.select("name", F.array_join("subpackages", ",").alias("subpackages"))
 
 
-@query(f"WITH {FILES_SQL} SELECT path, sha256(left(content, 20)) AS head FROM files WHERE doc_id % 6 < 4 AND doc_id % 2 = 0 UNION SELECT path, sha256(left(content, 20)) FROM files WHERE doc_id % 7 = 0")
+@query(f"""WITH RECURSIVE {IMPORTS_SQL}, back AS (SELECT 'docs.d' || doc_id AS module FROM ids WHERE doc_id = 3 UNION SELECT l.src FROM back r JOIN links l ON l.dst = r.module WHERE l.resolved),
+ahead AS ({_LAST} UNION SELECT l.dst FROM ahead r JOIN links l ON l.src = r.module WHERE l.resolved), both_of AS (SELECT module FROM back UNION SELECT module FROM ahead)
+SELECT path, sha256(content) AS sha256 FROM files_of JOIN both_of USING (module)""".replace("back AS (", f"{FILES_SQL}, files_of AS (SELECT *, 'docs.d' || doc_id AS module FROM files), back AS (", 1))
 def closure_union(spark, sf_dir):
-    files = corpus.files(spark, sf_dir).withColumn("head", F.sha2(F.left("content", F.lit(20)), 256))
-    return files.where("doc_id % 6 < 4 and doc_id % 2 = 0").select("path", "head").union(files.where("doc_id % 7 = 0").select("path", "head")).distinct()
+    """The files that a slice of two closures asks for: what needs one document, and what another needs."""
+    imports, found = corpus.imports(spark, sf_dir), corpus.documents_as_modules(spark, sf_dir)
+    last = table(spark, sf_dir, "documents").agg(F.max("doc_id").alias("doc_id")).select(F.expr("concat('docs.d', doc_id)").alias("module"))
+    wanted = graph.reverse_closure("docs.d3", imports, found).select("module").union(graph.forward_closure(last, imports, found).select("module")).distinct()
+    files = corpus.files(spark, sf_dir).withColumn("module", F.expr("concat('docs.d', doc_id)"))
+    return compare.manifest(files.join(wanted, "module", "left_semi"))

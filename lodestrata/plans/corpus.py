@@ -60,6 +60,12 @@ def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.distinct().unionByName(lost)
 
 
+def documents_as_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(module, is_package): a module for each document, and the package that holds them."""
+    ids = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.expr("concat('docs.d', doc_id)").alias("module"), F.lit(False).alias("is_package")).distinct()
+    return ids.unionByName(spark.range(1).select(F.lit("docs").alias("module"), F.lit(True).alias("is_package")))
+
+
 IMPORTS_SQL = """ids AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL),
 pairs AS (SELECT doc_id, doc_id // 2 AS dst FROM ids UNION SELECT doc_id, doc_id // 3 FROM ids),
 links AS (SELECT DISTINCT 'docs.d' || p.doc_id AS src, 'docs.d' || p.dst AS dst, i.doc_id IS NOT NULL AS resolved FROM pairs p LEFT JOIN ids i ON i.doc_id = p.dst WHERE p.dst <> p.doc_id)"""
