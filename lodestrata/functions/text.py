@@ -77,20 +77,25 @@ def bound(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+#: What ends a line: any of the universal newlines, or line feeds alone.
+UNIVERSAL, LINE_FEED = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]", "\n"
+
+
 def lines(text: Column) -> Column:
     """The lines of a text, as universal newlines divide it; a final newline begins no line."""
-    split = F.split(text, "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]")
+    split = F.split(text, UNIVERSAL)
     return bound(split, lambda rows: F.when(F.element_at(rows, -1) == "", F.slice(rows, F.lit(1), F.size(rows) - 1)).otherwise(rows))
 
 
-def numbered(text: Column) -> Column:
-    """Each line after its number, as wide as the last number; a final newline stays."""
+def numbered(text: Column, ends: str = UNIVERSAL) -> Column:
+    """Each line after its number, as wide as the last number; a final newline stays. Where line feeds alone end lines, an empty text has one line."""
 
     def shown(rows: Column) -> Column:
         width = F.length(F.greatest(F.size(rows), F.lit(1)).cast("string"))
         return F.array_join(F.transform(rows, lambda line, k: F.concat(F.lpad((k + 1).cast("string"), width, F.lit(" ")), F.lit(": "), line)), "\n")
 
-    return F.concat(bound(lines(text), shown), F.when(text.endswith("\n"), "\n").otherwise(""))
+    rows = lines(text) if ends == UNIVERSAL else F.split(F.when(text.endswith("\n"), F.left(text, F.length(text) - 1)).otherwise(text), ends)
+    return F.concat(bound(rows, shown), F.when(text.endswith("\n"), "\n").otherwise(""))
 
 
 def in_order(values: Column) -> Column:
