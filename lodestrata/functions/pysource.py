@@ -1,7 +1,7 @@
 """Symbols, imports, positions and stubs of Python source, parsed in Arrow batches by `ast`.
 
-One pass parses each file once and gives nested columns; everything after that (totals, lookups,
-import edges, stubs) is column expressions over them. A file that can't be parsed has its message in
+One pass parses each file once and gives nested columns, all of them or those that are asked for; everything
+after that (totals, lookups, import edges, stubs) is column expressions over them. A file that can't be parsed has its message in
 `error` and nothing else, so callers can fail with all errors at once.
 """
 
@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,7 +27,12 @@ POSITION = "struct<name: string, line: int, character: int>"
 PARSED = f"doc string, imports array<string>, constants array<{ATTRIBUTE}>, functions array<{FUNCTION}>, classes array<{CLASS}>, edges array<{IMPORT}>, positions array<{POSITION}>, error string"
 MODELS = frozenset(["BaseModel", "BaseSettings", "pydantic.BaseModel"])
 _DEFINED = re.compile(r"(?:async\s+)?(?:def|class)\s+(?=\w)")
+_LINE_END = re.compile(rb"\r\n|\n|\r")
+#: The fields that lead to further statements.
+_BLOCKS = ("body", "handlers", "orelse", "finalbody", "cases")
 LEVELS = ("hierarchy", "modules", "signatures")
+#: So many files' symbols are in a worker's memory at once.
+AT_ONCE = 500
 
 
 def _first_line(node: ast.AST) -> str | None:
@@ -45,10 +52,29 @@ class _Module:
     def __init__(self, source: str) -> None:
         self.source = source
         self.tree = ast.parse(source)
-        self.lines = source.splitlines()
+
+    @cached_property
+    def bytes(self) -> bytes:
+        return self.source.encode()
+
+    @cached_property
+    def starts(self) -> list[int]:
+        """Where each line starts, in bytes, as the grammar counts lines."""
+        return [0, *(found.end() for found in _LINE_END.finditer(self.bytes))]
 
     def text(self, node: ast.AST | None) -> str | None:
-        return None if node is None else ast.get_source_segment(self.source, node)
+        """What `ast.get_source_segment` gives, which divides the whole source anew for each node."""
+        return None if node is None else self.bytes[self.starts[node.lineno - 1] + node.col_offset : self.starts[node.end_lineno - 1] + node.end_col_offset].decode()
+
+    def line(self, number: int) -> str:
+        end = self.starts[number] if number < len(self.starts) else len(self.bytes)
+        return self.bytes[self.starts[number - 1] : end].decode().rstrip("\r\n")
+
+    def doc(self) -> str | None:
+        return _first_line(self.tree)
+
+    def imports(self) -> list[str]:
+        return [self.text(n) for n in self.tree.body if isinstance(n, ast.Import | ast.ImportFrom)]
 
     def parameters(self, given: ast.arguments) -> tuple[list[dict], list[str]]:
         found, shown = [], []
@@ -140,8 +166,13 @@ class _Module:
         return out
 
     def edges(self) -> list[dict]:
-        out = []
-        for node in ast.walk(self.tree):
+        """Of all statements, level by level; expressions hold none."""
+        out, waiting = [], deque([self.tree])
+        while waiting:
+            node = waiting.popleft()
+            for block in _BLOCKS:
+                if isinstance(below := getattr(node, block, None), list):
+                    waiting += below
             if isinstance(node, ast.Import):
                 out += [{"name": a.name, "module": None, "level": 0, "is_from": False} for a in node.names]
             elif isinstance(node, ast.ImportFrom):
@@ -153,7 +184,7 @@ class _Module:
         out = []
         for node in self.tree.body:
             if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
-                found = _DEFINED.match(self.lines[node.lineno - 1], node.col_offset)
+                found = _DEFINED.match(self.line(node.lineno), node.col_offset)
                 out.append({"name": node.name, "line": node.lineno - 1, "character": found.end() if found else node.col_offset})
             elif isinstance(node, ast.Assign | ast.AnnAssign):
                 target = node.targets[0] if isinstance(node, ast.Assign) else node.target
@@ -163,31 +194,35 @@ class _Module:
         return out
 
 
-def parse(source: str | None) -> dict:
-    """All columns of PARSED for one source."""
-    empty = {name: None for name in ("doc", "imports", "constants", "functions", "classes", "edges", "positions", "error")}
+#: What makes each column of PARSED but the error.
+COLUMNS: dict[str, Callable[[_Module], object]] = {
+    "doc": _Module.doc,
+    "imports": _Module.imports,
+    "constants": _Module.constants,
+    "functions": lambda made: made.functions(made.tree.body),
+    "classes": _Module.classes,
+    "edges": _Module.edges,
+    "positions": _Module.positions,
+}
+
+
+def parse(source: str | None, columns: Iterable[str] = tuple(COLUMNS)) -> dict:
+    """Those columns of PARSED for one source, and its error."""
+    empty = {name: None for name in (*columns, "error")}
     if source is None:
         return empty | {"error": "no source"}
     try:
         made = _Module(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         return empty | {"error": f"{type(e).__name__}: {getattr(e, 'msg', None) or e} (line {getattr(e, 'lineno', None) or 0})"}
-    return {
-        "doc": _first_line(made.tree),
-        "imports": [made.text(n) for n in made.tree.body if isinstance(n, ast.Import | ast.ImportFrom)],
-        "constants": made.constants(),
-        "functions": made.functions(made.tree.body),
-        "classes": made.classes(),
-        "edges": made.edges(),
-        "positions": made.positions(),
-        "error": None,
-    }
-
-
-def extract(files: DataFrame, content: str = "content") -> DataFrame:
-    """The rows of `files` without the content, with the columns of PARSED beside them."""
+    return empty | {name: COLUMNS[name](made) for name in columns}
+
+
+def extract(files: DataFrame, content: str = "content", columns: Iterable[str] = tuple(COLUMNS)) -> DataFrame:
+    """The rows of `files` without the content, with those columns of PARSED and the error beside them."""
     kept = [f for f in files.schema.fields if f.name != content]
-    parsed = StructType.fromDDL(PARSED).fields
+    asked = tuple(columns)
+    parsed = [f for f in StructType.fromDDL(PARSED).fields if f.name in (*asked, "error")]
     schema = StructType(kept + parsed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,10 +230,12 @@ def extract(files: DataFrame, content: str = "content") -> DataFrame:
 
         target = to_arrow_schema(schema)
         names = [f.name for f in parsed]
-        for batch in batches:
-            rows = [parse(x) for x in batch.column(content).to_pylist()]
-            made = [pa.array([r[n] for r in rows], target.field(n).type) for n in names]
-            yield pa.RecordBatch.from_arrays([*[batch.column(f.name).cast(target.field(f.name).type) for f in kept], *made], schema=target)
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(at, AT_ONCE)
+                rows = [parse(x, asked) for x in batch.column(content).to_pylist()]
+                made = [pa.array([r[n] for r in rows], target.field(n).type) for n in names]
+                yield pa.RecordBatch.from_arrays([*[batch.column(f.name).cast(target.field(f.name).type) for f in kept], *made], schema=target)
 
     return files.select(*[F.col(f.name) for f in kept], F.col(content)).mapInArrow(run, schema)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Of tables that are dealt out, also while a cluster's executors are still joining.
+LEAST_TASKS = 24
 ENDS = (".md", ".txt", ".json", ".py", ".log")
 #: The same tree in SQL.
 FILES_SQL = """files AS (
@@ -17,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt out in turn to several tasks a core: a table of few bytes is read by one task, though each of its rows may be long work."""
+    return rows.repartition(max(LEAST_TASKS, 4 * rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, path, content, size_bytes): a file for each document."""
     end = F.element_at(F.array(*map(F.lit, ENDS)), (F.col("doc_id") % 5 + 1).cast("int"))
@@ -32,7 +39,7 @@ PYTHON = r'''concat('"""', 'Customer ', c_name, '.', '\n\nMore of it.\n"""\nimpo
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(c_custkey, c_nationkey, c_name, module, content): a Python module for each customer."""
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name")
-    return rows.withColumn("module", F.expr("concat('pkg.customer_', c_custkey)")).withColumn("content", F.expr(PYTHON))
+    return spread(rows).withColumn("module", F.expr("concat('pkg.customer_', c_custkey)")).withColumn("content", F.expr(PYTHON))
 
 
 def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
