@@ -37,14 +37,17 @@ def edges(parsed: DataFrame, modules: DataFrame) -> DataFrame:
     full = lambda *x: F.array_join(F.filter(F.array(*[F.coalesce(c, F.lit("")) for c in x]), lambda p: p != ""), ".")
     each = each.withColumn("base", base)
     star = F.col("e.name") == "*"
-    plain = each.where(~F.col("e.is_from")).select("module", F.col("e.name").alias("target"))
-    sibling = each.where(F.col("e.is_from") & F.col("e.module").isNull() & ~star).select("module", full(F.col("base"), F.col("e.name")).alias("target"))
-    origin = each.where(F.col("e.is_from") & F.col("e.module").isNotNull())
-    whole = origin.select("module", full(F.col("base"), F.col("e.module")).alias("target"))
-    maybe = origin.where(~star).select("module", full(F.col("base"), F.col("e.module"), F.col("e.name")).alias("target"))
+    # All targets of an import in one pass, for each pass parses anew; `sure` ones count whether or not they are modules.
+    target = lambda name, sure: F.struct(name.alias("target"), F.lit(sure).alias("sure"))
+    none = F.array().cast("array<struct<target: string, sure: boolean>>")
+    whole = F.array(target(full(F.col("base"), F.col("e.module")), True))
+    maybe = F.array(target(full(F.col("base"), F.col("e.module"), F.col("e.name")), False))
+    sibling = F.array(target(full(F.col("base"), F.col("e.name")), True))
+    made = F.when(~F.col("e.is_from"), F.array(target(F.col("e.name"), True))).when(F.col("e.module").isNotNull() & star, whole).when(F.col("e.module").isNotNull(), F.concat(whole, maybe)).when(~star, sibling).otherwise(none)
+    found = each.select("module", F.explode(made).alias("t")).groupBy("module", "t.target").agg(F.max("t.sure").alias("sure"))
     known = modules.select(F.col("module").alias("target"))
-    found = plain.unionByName(sibling).unionByName(whole).unionByName(maybe.join(known, "target", "left_semi").select("module", "target")).distinct()
     found = found.join(known.distinct().withColumn("resolved", F.lit(True)), "target", "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
+    found = found.where(F.col("sure") | F.col("resolved")).drop("sure")
     tops = modules.select(F.split_part("module", F.lit("."), F.lit(1)).alias("top")).distinct().withColumn("is_local", F.lit(True))
     found = found.withColumn("top", F.split_part("target", F.lit("."), F.lit(1))).join(tops, "top", "left")
     return found.select("module", "target", "resolved", F.coalesce("is_local", F.lit(False)).alias("is_local"))

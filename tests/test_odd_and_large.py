@@ -14,6 +14,7 @@ from oracle import same_rows
 from pyspark.sql import functions as F
 
 from lodestrata.functions import outline, pysource, text
+from lodestrata.operators import graph
 from lodestrata.plans import catalog, corpus
 
 
@@ -134,3 +135,23 @@ def test_queries_ask_for_what_they_need(spark, monkeypatch, name):
     [(columns, files)] = asked
     assert columns == ASKED[name]
     assert files.count() == (1 if name == "module_by_name" else spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count())
+
+
+def test_imports_are_parsed_once(spark):
+    """Each kind of import and each list of modules parsed all sources again."""
+    plan = catalog.QUERIES["import_edges"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_edges_of_every_kind_of_import(spark):
+    edge = "struct<name: string, module: string, level: int, is_from: boolean>"
+    imports = [("os", None, 0, False), ("os", None, 0, False), ("p.a", None, 0, False), ("x", "p.a", 0, True), ("a", "p", 0, True), ("*", "p", 0, True), ("b", None, 1, True), ("*", None, 1, True), ("c", "a", 1, True), ("a", None, 2, True)]
+    parsed = spark.createDataFrame([("p.q.m", False, imports), ("p", True, [("a", None, 1, True)]), ("top", False, [("p", None, 1, True)]), ("none", False, [])], f"module string, is_package boolean, edges array<{edge}>")
+    known = spark.createDataFrame([("p", True), ("p.a", False), ("p.q", True), ("p.q.m", False), ("p.q.b", False), ("top", False)], "module string, is_package boolean")
+    found = graph.edges(parsed, known).collect()
+    got = {tuple(r) for r in found}
+    assert len(got) == len(found)
+    assert got == {
+        ("p.q.m", "os", False, False), ("p.q.m", "p.a", True, True), ("p.q.m", "p", True, True), ("p.q.m", "p.q.b", True, True), ("p.q.m", "p.q.a", False, True),
+        ("p", "p.a", True, True), ("top", "p", True, True),
+    }
